@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 # cannot occur in XML, not even as a character reference
 _SEPARATOR = "\x1f"
+# Java's XPath compiler accepts about 100 operators in one expression
+_PER_EXPRESSION = 14
 
 
 @dataclass(frozen=True)
@@ -100,15 +102,17 @@ def _term(indicator: Indicator) -> str:
 def indicator_columns(xml: Column) -> list[Column]:
     """All indicators with Spark's own XPath.
 
-    One expression asks for all of them at once, so every plan is parsed once
-    and not once per indicator.  No XML gives NULLs; malformed XML is an error.
+    One expression asks for many of them at once, so a plan is parsed once per
+    expression and not once per indicator.  No XML gives NULLs; malformed XML
+    is an error.
     """
-    wanted = f',"{_SEPARATOR}",'.join(_term(i) for i in INDICATORS)
-    found = F.split(F.xpath_string(xml, F.lit(f"concat({wanted})")), _SEPARATOR)
-    return [
-        found[position].try_cast(_sql_type(i)).alias(i.name)
-        for position, i in enumerate(INDICATORS)
-    ]
+    columns = []
+    for first in range(0, len(INDICATORS), _PER_EXPRESSION):
+        some = INDICATORS[first:first + _PER_EXPRESSION]
+        wanted = f',"{_SEPARATOR}",'.join(_term(i) for i in some)
+        found = F.split(F.xpath_string(xml, F.lit(f"concat({wanted})")), _SEPARATOR)
+        columns += [found[n].try_cast(_sql_type(i)).alias(i.name) for n, i in enumerate(some)]
+    return columns
 
 
 def tolerant_indicators(xml: Column) -> Column:
