@@ -38,8 +38,15 @@ def params(**changed) -> CompareParams:
     return CompareParams(**{"charset": "UTF-8", "min_exec": 300, **changed})
 
 
-def comparison(spark: SparkSession, sf_dir: str, **changed) -> Comparison:
-    return Comparison(derived_run(spark, sf_dir), params(**changed), inputs.SIDES)
+_latest: list[Comparison] = []
+
+
+def comparison(spark: SparkSession, sf_dir: str, store: str | None = "groups", **changed) -> Comparison:
+    """A new comparison; what the previous one stored is released."""
+    while _latest:
+        _latest.pop().release()
+    _latest.append(Comparison(derived_run(spark, sf_dir), params(**changed), inputs.SIDES, store=store))
+    return _latest[0]
 
 
 # --- sides, plans, texts --------------------------------------------------
@@ -104,7 +111,7 @@ def statement_type_conversations(spark, sf_dir):
 
 def _groups(**changed) -> Query:
     def query(spark, sf_dir):
-        return comparison(spark, sf_dir, **changed).groups.select(
+        return comparison(spark, sf_dir, None, **changed).groups.select(
             "side", "query_type", "obj_name", hex_text(F.col("group_key")).alias("group_key_hex"),
             "query_hash", "object_id", "query_text_sample", "normalized_sample", "query_id_min", "query_id_max",
             "plan_count", "exec_count", "total_metric", "avg_metric", "total_duration", "avg_duration",
@@ -138,12 +145,12 @@ def _name_back(rows: DataFrame) -> DataFrame:
 
 
 def dominant_plans_query(spark, sf_dir):
-    c = comparison(spark, sf_dir, group_by="NormalizedText")
+    c = comparison(spark, sf_dir, "plans", group_by="NormalizedText")
     return _name_back(dominant_plans(c.plans, c.regressed_groups))
 
 
 def dominant_pairs_query(spark, sf_dir):
-    c = comparison(spark, sf_dir, group_by="NormalizedText")
+    c = comparison(spark, sf_dir, "plans", group_by="NormalizedText")
     pairs = dominant_pairs(c.plans, c.regressed_groups)
     return _name_back(pairs.select(*GROUP, "plan_id_l", "plan_id_h", "query_id_l", "query_id_h"))
 
@@ -159,9 +166,9 @@ def plan_indicators(spark, sf_dir):
 
 # --- reports --------------------------------------------------------------
 
-def _report(name: str, **changed) -> Query:
+def _report(name: str, store: str = "groups", **changed) -> Query:
     def query(spark, sf_dir):
-        return getattr(comparison(spark, sf_dir, **changed), name)()
+        return getattr(comparison(spark, sf_dir, store, **changed), name)()
     return query
 
 
@@ -176,7 +183,7 @@ def persisted_regressions(spark, sf_dir):
 
 def step_metrics(spark, sf_dir):
     steps = Steps(spark)
-    comparison(spark, sf_dir).timed(steps)
+    comparison(spark, sf_dir, None).timed(steps)
     steps.release()
     return steps.metrics()
 
@@ -459,7 +466,7 @@ QUERIES: dict[str, Query] = {
     "regression_overview": _report("overview", min_exec=100),
     "regression_overview_text": _report("overview", group_by="QueryText", metric="CPU", top_n=None),
     "regression_summary": _report("summary"),
-    "multi_plan_drilldown": _report("drilldown"),
+    "multi_plan_drilldown": _report("drilldown", store="plans"),
     "plan_shape_diff": _report("shape_report"),
     "persisted_regressions": persisted_regressions,
     "step_metrics": step_metrics,

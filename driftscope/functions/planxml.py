@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 # cannot occur in XML, not even as a character reference
 _SEPARATOR = "\x1f"
 # Java's XPath compiler accepts about 100 operators in one expression
-_PER_EXPRESSION = 14
+_PER_XPATH = 14
 
 
 @dataclass(frozen=True)
@@ -99,19 +99,18 @@ def _term(indicator: Indicator) -> str:
     return f"({indicator.xpath})[1]"
 
 
-def indicator_columns(xml: Column) -> list[Column]:
-    """All indicators with Spark's own XPath.
+def indicator_columns(xml: str) -> list[str]:
+    """All indicators of an XML column with Spark's own XPath, as SQL texts.
 
-    One expression asks for many of them at once, so a plan is parsed once per
-    expression and not once per indicator.  No XML gives NULLs; malformed XML
-    is an error.
+    One XPath asks for many of them at once, so a plan is parsed once per XPath
+    and not once per indicator.  No XML gives NULLs; malformed XML is an error.
     """
     columns = []
-    for first in range(0, len(INDICATORS), _PER_EXPRESSION):
-        some = INDICATORS[first:first + _PER_EXPRESSION]
+    for first in range(0, len(INDICATORS), _PER_XPATH):
+        some = INDICATORS[first:first + _PER_XPATH]
         wanted = f',"{_SEPARATOR}",'.join(_term(i) for i in some)
-        found = F.split(F.xpath_string(xml, F.lit(f"concat({wanted})")), _SEPARATOR)
-        columns += [found[n].try_cast(_sql_type(i)).alias(i.name) for n, i in enumerate(some)]
+        found = f"split(xpath_string({xml}, 'concat({wanted})'), '{_SEPARATOR}')"
+        columns += [f"try_cast({found}[{n}] AS {_sql_type(i)}) AS {i.name}" for n, i in enumerate(some)]
     return columns
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from driftscope.functions.report import RATIO, TOTAL, flag_list, flag_text
 from driftscope.operators.groups import GROUP
@@ -18,6 +17,8 @@ MULTI_PLAN = "MULTI_PLAN"
 SIDE_NOTES = ("WEIGHTED_TOTAL", "PLAN_FIRST_PREAGG")
 END_FALLBACK = "INTERVAL_END_FALLBACK"
 
+IS_MULTI_PLAN = "plan_count_l > 1 OR plan_count_h > 1"
+
 _CARRIED = [
     "obj_name", "query_hash", "query_id_min", "query_id_max", "plan_count", "exec_count",
     "total_metric", "avg_metric", "total_duration", "avg_duration", "query_text_sample",
@@ -28,7 +29,8 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join on plain equality, as a left join plus the unmatched right.
 
     The result is the same; but AQE can split a skewed key in a left or anti
-    join and cannot in a full outer one.
+    join and cannot in a full outer one, which also holds all rows of a key in
+    memory.
     """
     matched = left.join(right, keys, "left")
     only_right = right.join(left.select(*keys), keys, "left_anti")
@@ -36,86 +38,66 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare(groups: DataFrame, p: CompareParams, end_fallback: Iterable[str] = ()) -> DataFrame:
-    """One row per pair of matching groups, and one per group without a match."""
-    sides = {}
-    for tag, side in (("l", "L"), ("h", "H")):
-        sides[tag] = groups.where(F.col("side") == side).select(
-            *GROUP,
-            *[F.col(c).alias(f"{c}_{tag}") for c in _CARRIED],
-            F.lit(True).alias(f"present_{tag}"),
-        )
-    return _measures(full_outer(sides["l"], sides["h"], GROUP), p, frozenset(end_fallback))
-
+    """One row per pair of matching groups, and one per group without a match.
 
-def _measures(joined: DataFrame, p: CompareParams, end_fallback: frozenset[str]) -> DataFrame:
-    zero = F.lit(0)
-
-    def total(column: str) -> Column:
-        return F.coalesce(F.col(column), zero.cast(TOTAL)).cast(TOTAL)
+    ``groups`` is read once per side and once more for the unmatched ones, so
+    it should be persisted or stored (:class:`driftscope.Comparison` does).
+    """
+    low, high = (
+        groups.where(f"side = '{side}'").selectExpr(
+            *GROUP, *[f"{c} AS {c}_{tag}" for c in _CARRIED], f"true AS present_{tag}")
+        for tag, side in (("l", "L"), ("h", "H"))
+    )
+    return _measures(full_outer(low, high, GROUP), p, frozenset(end_fallback))
 
-    def count(column: str, as_type: str) -> Column:
-        return F.coalesce(F.col(column), zero).cast(as_type)
 
-    filled = joined.select(
+def _measures(joined: DataFrame, p: CompareParams, end_fallback: frozenset[str]) -> DataFrame:
+    totals = ("total_metric", "avg_metric", "total_duration", "avg_duration")
+    filled = joined.selectExpr(
         *GROUP,
-        F.coalesce("obj_name_h", "obj_name_l").alias("obj_name"),
+        "coalesce(obj_name_h, obj_name_l) AS obj_name",
         "query_hash_l", "query_hash_h",
-        _id_range("l").alias("query_id_range_l"), _id_range("h").alias("query_id_range_h"),
-        *[count(f"plan_count_{t}", "int").alias(f"plan_count_{t}") for t in "lh"],
-        *[count(f"exec_count_{t}", "bigint").alias(f"exec_count_{t}") for t in "lh"],
-        *[total(f"{m}_{t}").alias(f"{m}_{t}")
-          for m in ("total_metric", "avg_metric", "total_duration", "avg_duration") for t in "lh"],
-        # the raw averages stay nullable: a missing side has no ratio
-        F.col("avg_metric_l").alias("low_avg"), F.col("avg_metric_h").alias("high_avg"),
+        *[f"concat(cast(query_id_min_{t} AS string), '-', cast(query_id_max_{t} AS string)) AS query_id_range_{t}"
+          for t in "lh"],
+        *[f"cast(coalesce(plan_count_{t}, 0) AS int) AS plan_count_{t}" for t in "lh"],
+        *[f"cast(coalesce(exec_count_{t}, 0) AS bigint) AS exec_count_{t}" for t in "lh"],
+        *[f"coalesce({m}_{t}, cast(0 AS {TOTAL})) AS {m}_{t}" for m in totals for t in "lh"],
+        # the raw averages stay nullable: a missing or zero side has no ratio
+        "avg_metric_h AS high", f"nullif(avg_metric_l, cast(0 AS {TOTAL})) AS base",
         "present_l", "present_h",
-        F.coalesce("query_text_sample_h", "query_text_sample_l").alias("query_text_sample"),
+        "coalesce(query_text_sample_h, query_text_sample_l) AS query_text_sample",
     )
-    base = F.nullif(F.col("low_avg"), zero.cast(TOTAL))
-    delta = F.col("avg_metric_h") - F.col("avg_metric_l")
-    return filled.withColumns({
-        "regression_ratio": (F.col("high_avg") / base).cast(RATIO),
-        "delta_avg_metric": delta.cast(TOTAL),
-        "impact_score": F.when(base.isNotNull(), delta * F.col("exec_count_h")).cast(TOTAL),
-        "confidence_flags": _confidence(p, end_fallback),
-    }).drop("low_avg", "high_avg", "present_l", "present_h")
-
-
-def _id_range(tag: str) -> Column:
-    return F.concat(
-        F.col(f"query_id_min_{tag}").cast("string"), F.lit("-"),
-        F.col(f"query_id_max_{tag}").cast("string"),
+    kept = [c for c in filled.columns if c not in ("high", "base", "present_l", "present_h")]
+    return filled.selectExpr(
+        *kept,
+        f"cast(high / base AS {RATIO}) AS regression_ratio",
+        f"cast(avg_metric_h - avg_metric_l AS {TOTAL}) AS delta_avg_metric",
+        f"if(base IS NOT NULL, cast((avg_metric_h - avg_metric_l) * exec_count_h AS {TOTAL}), NULL) AS impact_score",
+        f"{_confidence(p, end_fallback)} AS confidence_flags",
     )
 
 
-def _confidence(p: CompareParams, end_fallback: frozenset[str]) -> Column:
-    low, high = F.col("exec_count_l"), F.col("exec_count_h")
-    flags = [((low == 0) | (high == 0), MISSING_ONE_SIDE)]
+def _confidence(p: CompareParams, end_fallback: frozenset[str]) -> str:
+    flags = [("exec_count_l = 0 OR exec_count_h = 0", MISSING_ONE_SIDE)]
     if p.min_exec is not None:
-        flags.append(((low < p.min_exec) | (high < p.min_exec), LOW_EXEC))
-    flags.append(((F.col("plan_count_l") > 1) | (F.col("plan_count_h") > 1), MULTI_PLAN))
+        flags.append((f"exec_count_l < {p.min_exec} OR exec_count_h < {p.min_exec}", LOW_EXEC))
+    flags.append((IS_MULTI_PLAN, MULTI_PLAN))
     for tag, side in (("l", "L"), ("h", "H")):
-        present = F.coalesce(F.col(f"present_{tag}"), F.lit(False))
         notes = SIDE_NOTES + ((END_FALLBACK,) if side in end_fallback else ())
-        flags.extend((present, note) for note in notes)
+        flags.extend((f"present_{tag} IS NOT NULL", note) for note in notes)
     return flag_text(flags)
 
 
-def is_multi_plan() -> Column:
-    return (F.col("plan_count_l") > 1) | (F.col("plan_count_h") > 1)
-
-
 def regressed(compared: DataFrame, p: CompareParams) -> DataFrame:
     """Rows that became dearer, with enough executions and a large enough ratio."""
-    rows = compared.where(
-        F.col("regression_ratio").isNotNull() & (F.col("avg_metric_h") > F.col("avg_metric_l"))
-    )
+    conditions = ["regression_ratio IS NOT NULL", "avg_metric_h > avg_metric_l"]
     if p.min_exec is not None:
-        rows = rows.where((F.col("exec_count_l") >= p.min_exec) & (F.col("exec_count_h") >= p.min_exec))
+        conditions += [f"exec_count_l >= {p.min_exec}", f"exec_count_h >= {p.min_exec}"]
     if p.min_ratio is not None:
-        rows = rows.where(F.col("regression_ratio") >= F.lit(p.min_ratio))
+        conditions.append(f"regression_ratio >= cast('{p.min_ratio}' AS decimal(9,4))")
     if p.only_multi_plan:
-        rows = rows.where(is_multi_plan())
-    return rows
+        conditions.append(f"({IS_MULTI_PLAN})")
+    return compared.where(" AND ".join(conditions))
 
 
 def group_names(rows: DataFrame) -> DataFrame:
@@ -125,4 +107,4 @@ def group_names(rows: DataFrame) -> DataFrame:
 
 def with_flag_list(rows: DataFrame) -> DataFrame:
     """Confidence flags as an array beside the text."""
-    return rows.withColumn("confidence_flag_list", flag_list(F.col("confidence_flags")))
+    return rows.selectExpr("*", f"{flag_list('confidence_flags')} AS confidence_flag_list")

@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from driftscope.operators.groups import GROUP
 
 
-def _unpacked(tag: str = "", source: str = "best") -> list:
+def _unpacked(tag: str = "", source: str = "best") -> list[str]:
     suffix = f"_{tag}" if tag else ""
-    return [
-        F.col(f"{source}.plan_id").alias(f"plan_id{suffix}"),
-        F.col(f"{source}.query_id").alias(f"query_id{suffix}"),
-        F.col(f"{source}.sum_exec").alias(f"exec_count{suffix}"),
-        F.col(f"{source}.avg_metric").alias(f"avg_metric{suffix}"),
-    ]
+    fields = {"plan_id": "plan_id", "query_id": "query_id", "exec_count": "sum_exec", "avg_metric": "avg_metric"}
+    return [f"{source}.{field} AS {name}{suffix}" for name, field in fields.items()]
 
 
 def keep_groups(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
@@ -30,8 +26,8 @@ def keep_groups(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
 
 def dominant_plans(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """One plan per side and group.  ``rows``: plans or groups with ``candidate``."""
-    best = keep_groups(rows, keys).groupBy("side", *GROUP).agg(F.max("candidate").alias("best"))
-    return best.select("side", *GROUP, *_unpacked())
+    best = keep_groups(rows, keys).groupBy("side", *GROUP).agg(F.expr("max(candidate) AS best"))
+    return best.selectExpr("side", *GROUP, *_unpacked())
 
 
 def dominant_pairs(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -41,10 +37,10 @@ def dominant_pairs(rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     is a conditional aggregate over both sides: one shuffle and no join.
     """
     best = keep_groups(rows, keys).groupBy(*GROUP).agg(
-        F.max(F.when(F.col("side") == "L", F.col("candidate"))).alias("best_l"),
-        F.max(F.when(F.col("side") == "H", F.col("candidate"))).alias("best_h"),
+        F.expr("max(if(side = 'L', candidate, NULL)) AS best_l"),
+        F.expr("max(if(side = 'H', candidate, NULL)) AS best_h"),
     )
-    return best.select(*GROUP, *_unpacked("l", "best_l"), *_unpacked("h", "best_h"))
+    return best.selectExpr(*GROUP, *_unpacked("l", "best_l"), *_unpacked("h", "best_h"))
 
 
 def multi_plan_dominant(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -53,13 +49,8 @@ def multi_plan_dominant(rows: DataFrame, keys: DataFrame) -> DataFrame:
     Type and name do not separate plans here: of two objects that share a key
     the one with the more executed plan wins on each side.
     """
-    ranked = keep_groups(rows, keys).select(
-        "side", *GROUP, F.struct("candidate", "query_type", "obj_key").alias("entry")
-    )
-    winner = ranked.groupBy("side", "group_key").agg(F.max("entry").alias("entry")).select(
-        "side", "group_key",
-        F.col("entry.query_type").alias("query_type"),
-        F.col("entry.obj_key").alias("obj_key"),
-        F.col("entry.candidate").alias("candidate"),
-    )
+    ranked = keep_groups(rows, keys).selectExpr(
+        "side", "group_key", "struct(candidate, query_type, obj_key) AS entry")
+    winner = ranked.groupBy("side", "group_key").agg(F.expr("max(entry) AS entry")).selectExpr(
+        "side", "group_key", "entry.query_type", "entry.obj_key", "entry.candidate")
     return dominant_pairs(winner)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,27 +23,25 @@ def metric_column(kind: str, p: CompareParams) -> str:
     return f"{kind}_{_METRIC_COLUMN[p.metric]}"
 
 
-def hash_bytes(df: DataFrame, column: str = "query_hash") -> Column:
+def hash_bytes(df: DataFrame, column: str = "query_hash") -> str:
     """The query hash as 8 bytes, whether it is stored as binary or as a number."""
     if isinstance(df.schema[column].dataType, T.BinaryType):
-        return F.col(column)
-    return F.unhex(F.lpad(F.hex(F.col(column).cast("bigint")), 16, "0"))
+        return column
+    return f"unhex(lpad(hex(cast({column} AS bigint)), 16, '0'))"
 
 
-def group_key(df: DataFrame, p: CompareParams) -> Column:
+def group_key(df: DataFrame, p: CompareParams) -> str:
     """SHA-256 of what identifies a query under the chosen grouping."""
     if p.group_by == "QueryHash":
-        return F.unhex(F.sha2(hash_bytes(df), 256))
-    return F.col("query_text_hash" if p.group_by == "QueryText" else "normalized_hash")
+        return f"unhex(sha2({hash_bytes(df)}, 256))"
+    return "query_text_hash" if p.group_by == "QueryText" else "normalized_hash"
 
 
 def object_names(objects: DataFrame, schemas: DataFrame) -> DataFrame:
     """side, object_id and ``schema.name``; no name if the schema is unknown."""
-    named = schemas.select("side", "schema_id", F.col("name").alias("schema_name"))
-    return objects.join(named, ["side", "schema_id"], "left").select(
-        "side", "object_id",
-        F.concat(F.col("schema_name"), F.lit("."), F.col("name")).alias("full_name"),
-    )
+    named = schemas.selectExpr("side", "schema_id", "name AS schema_name")
+    return objects.join(named, ["side", "schema_id"], "left").selectExpr(
+        "side", "object_id", "concat(schema_name, '.', name) AS full_name")
 
 
 def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
@@ -56,25 +54,22 @@ def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
     ids = plans if p.restricts_rows else None
     texts = text_features(run.query_text, p, ids)
     if p.statement_type != "ALL":
-        texts = texts.where(F.col("detected_type") == p.statement_type)
+        texts = texts.where(f"detected_type = '{p.statement_type}'")
     known = plans.join(texts, ["side", "query_text_id"]).join(
         object_names(run.objects, run.schemas), ["side", "object_id"], "left"
     )
-    procedure = F.col("object_id") > 0
-    name = F.when(procedure, F.col("full_name"))
-    return known.select(
+    average = metric_column("avg", p)
+    return known.selectExpr(
         *plans.columns,
-        F.when(procedure, F.lit("SP")).otherwise(F.lit("Adhoc")).alias("query_type"),
-        name.alias("obj_name"),
-        F.coalesce(name, F.lit("")).alias("obj_key"),
-        group_key(known, p).alias("group_key"),
+        "if(object_id > 0, 'SP', 'Adhoc') AS query_type",
+        "if(object_id > 0, full_name, NULL) AS obj_name",
+        "coalesce(if(object_id > 0, full_name, NULL), '') AS obj_key",
+        f"{group_key(known, p)} AS group_key",
         "query_text_sample",
         "normalized_sample",
-        F.col(metric_column("total", p)).alias("total_metric"),
-        F.col(metric_column("avg", p)).alias("avg_metric"),
-        F.struct(
-            "sum_exec", F.col(metric_column("avg", p)).alias("avg_metric"), "plan_id", "query_id",
-        ).alias("candidate"),
+        f"{metric_column('total', p)} AS total_metric",
+        f"{average} AS avg_metric",
+        f"struct(sum_exec, {average} AS avg_metric, plan_id, query_id) AS candidate",
     )
 
 
@@ -87,32 +82,26 @@ def group_stats(identified: DataFrame, p: CompareParams) -> DataFrame:
     as counting distinct ones.
     """
     keys = ["side", "query_type", "obj_name", "obj_key", "group_key"]
-    extra: list[Column] = []
-    if p.merge_groups:
-        extra = [F.min("query_hash").alias("query_hash"), F.min("object_id").alias("object_id")]
-    else:
-        keys += ["query_hash", "object_id"]
-    totals = identified.groupBy(*keys).agg(
-        *extra,
-        F.min("query_text_sample").alias("query_text_sample"),
-        F.min("normalized_sample").alias("normalized_sample"),
-        F.min("query_id").alias("query_id_min"),
-        F.max("query_id").alias("query_id_max"),
-        F.count("plan_id").cast("int").alias("plan_count"),
-        F.sum("sum_exec").alias("exec_count"),
-        F.sum("total_metric").alias("total_metric"),
-        F.sum("total_dur").alias("total_duration"),
-        F.min("interval_start_min").alias("interval_start_min"),
-        F.max("interval_end_max").alias("interval_end_max"),
-        F.max("candidate").alias("candidate"),
-    )
-    return totals.select(
-        "side", "query_type", "obj_name", "obj_key", "group_key", "query_hash", "object_id",
-        "query_text_sample", "normalized_sample", "query_id_min", "query_id_max",
+    split = ["query_hash", "object_id"]
+    merged = [f"min({c}) AS {c}" for c in split] if p.merge_groups else []
+    totals = identified.groupBy(*keys, *([] if p.merge_groups else split)).agg(*map(F.expr, (
+        *merged,
+        "min(query_text_sample) AS query_text_sample",
+        "min(normalized_sample) AS normalized_sample",
+        "min(query_id) AS query_id_min",
+        "max(query_id) AS query_id_max",
+        "cast(count(plan_id) AS int) AS plan_count",
+        "sum(sum_exec) AS exec_count",
+        f"cast(sum(total_metric) AS {TOTAL}) AS total_metric",
+        f"cast(sum(total_dur) AS {TOTAL}) AS total_duration",
+        "min(interval_start_min) AS interval_start_min",
+        "max(interval_end_max) AS interval_end_max",
+        "max(candidate) AS candidate",
+    )))
+    return totals.selectExpr(
+        *keys, *split, "query_text_sample", "normalized_sample", "query_id_min", "query_id_max",
         "plan_count", "exec_count",
-        F.col("total_metric").cast(TOTAL).alias("total_metric"),
-        weighted_average(F.col("total_metric"), F.col("exec_count")).alias("avg_metric"),
-        F.col("total_duration").cast(TOTAL).alias("total_duration"),
-        weighted_average(F.col("total_duration"), F.col("exec_count")).alias("avg_duration"),
+        "total_metric", f"{weighted_average('total_metric', 'exec_count')} AS avg_metric",
+        "total_duration", f"{weighted_average('total_duration', 'exec_count')} AS avg_duration",
         "interval_start_min", "interval_end_max", "candidate",
     )

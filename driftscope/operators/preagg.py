@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,38 +24,35 @@ def time_window(interval: DataFrame, p: CompareParams) -> DataFrame:
 
 def included_queries(query: DataFrame, p: CompareParams) -> DataFrame:
     """Stored-procedure queries have a positive object id, ad-hoc ones 0 or none."""
-    procedure = F.col("object_id") > 0
-    adhoc = F.coalesce(F.col("object_id"), F.lit(0)) == 0
-    if p.include_sp and p.include_adhoc:
-        return query.where(procedure | adhoc)
+    wanted = []
     if p.include_sp:
-        return query.where(procedure)
+        wanted.append("object_id > 0")
     if p.include_adhoc:
-        return query.where(adhoc)
-    return query.where(F.lit(False))
+        wanted.append("coalesce(object_id, 0) = 0")
+    return query.where(" OR ".join(wanted) or "false")
 
 
 def user_queries(query: DataFrame) -> DataFrame:
     """Queries the host does not run for itself."""
-    return query.where(F.coalesce(F.col("is_internal_query"), F.lit(0)) == 0)
+    return query.where("coalesce(is_internal_query, 0) = 0")
 
 
 def primary_replica(runtime_stats: DataFrame) -> DataFrame:
-    return runtime_stats.where(F.col("replica_group_id") == 1)
+    return runtime_stats.where("replica_group_id = 1")
 
 
-def _weighted(df: DataFrame, average: str) -> Column:
-    """average × executions with at most six decimal places.
+def _weighted(df: DataFrame, average: str) -> str:
+    """Sum of average × executions with at most six decimal places.
 
     A short decimal average times a count is exact as it stands.  Only longer
     or floating averages need the wide type, whose product Spark rounds to six
     places; it costs several times as much per row.
     """
     dtype = df.schema[average].dataType
-    count = F.col("count_executions").cast("bigint")
+    count = "cast(count_executions AS bigint)"
     if isinstance(dtype, T.DecimalType) and dtype.precision <= 18 and dtype.scale <= 6:
-        return F.col(average) * count
-    return F.col(average).cast(WIDE) * count.cast(WIDE)
+        return f"cast(sum({average} * {count}) AS {TOTAL})"
+    return f"cast(sum(cast({average} AS {WIDE}) * cast({count} AS {WIDE})) AS {TOTAL})"
 
 
 def plan_stats(run: Run, p: CompareParams) -> DataFrame:
@@ -71,25 +68,19 @@ def plan_stats(run: Run, p: CompareParams) -> DataFrame:
     if p.primary_replica_only:
         stats, queries = primary_replica(stats), user_queries(queries)
     timed = stats.join(time_window(run.interval, p), ["side", "runtime_stats_interval_id"])
-    totals = timed.groupBy("side", "plan_id").agg(
-        F.sum(F.col("count_executions").cast("bigint")).alias("sum_exec"),
-        F.sum(_weighted(timed, "avg_logical_io_reads")).cast(TOTAL).alias("total_reads"),
-        F.sum(_weighted(timed, "avg_cpu_time")).cast(TOTAL).alias("total_cpu"),
-        F.sum(_weighted(timed, "avg_duration")).cast(TOTAL).alias("total_dur"),
-        F.min("start_time").alias("interval_start_min"),
-        F.max("end_time").alias("interval_end_max"),
-    )
+    totals = timed.groupBy("side", "plan_id").agg(*map(F.expr, (
+        "sum(cast(count_executions AS bigint)) AS sum_exec",
+        f"{_weighted(timed, 'avg_logical_io_reads')} AS total_reads",
+        f"{_weighted(timed, 'avg_cpu_time')} AS total_cpu",
+        f"{_weighted(timed, 'avg_duration')} AS total_dur",
+        "min(start_time) AS interval_start_min",
+        "max(end_time) AS interval_end_max",
+    )))
     plans = run.plan.select("side", "plan_id", "query_id")
     queries = queries.select("side", "query_id", "query_text_id", "object_id", "query_hash")
-    return (
-        totals.join(plans, ["side", "plan_id"])
-        .join(queries, ["side", "query_id"])
-        .select(
-            "side", "plan_id", "query_id", "query_text_id", "object_id", "query_hash",
-            "sum_exec", "total_reads", "total_cpu", "total_dur",
-            weighted_average(F.col("total_reads"), F.col("sum_exec")).alias("avg_reads"),
-            weighted_average(F.col("total_cpu"), F.col("sum_exec")).alias("avg_cpu"),
-            weighted_average(F.col("total_dur"), F.col("sum_exec")).alias("avg_dur"),
-            "interval_start_min", "interval_end_max",
-        )
+    return totals.join(plans, ["side", "plan_id"]).join(queries, ["side", "query_id"]).selectExpr(
+        "side", "plan_id", "query_id", "query_text_id", "object_id", "query_hash",
+        "sum_exec", "total_reads", "total_cpu", "total_dur",
+        *[f"{weighted_average(f'total_{m}', 'sum_exec')} AS avg_{m}" for m in ("reads", "cpu", "dur")],
+        "interval_start_min", "interval_end_max",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftscope.functions.planxml import (
@@ -16,13 +16,9 @@ from driftscope.params import CompareParams
 
 def pair_members(pairs: DataFrame) -> DataFrame:
     """The plans named by pairs, one row per side and plan."""
-    member = F.explode(F.array(*[
-        F.struct(F.lit(side).alias("side"), F.col(f"plan_id_{tag}").alias("plan_id"))
-        for tag, side in (("l", "L"), ("h", "H"))
-    ]))
-    return pairs.select(*GROUP, member.alias("m")).where(F.col("m.plan_id").isNotNull()).select(
-        *GROUP, "m.side", "m.plan_id"
-    )
+    return pairs.selectExpr(
+        *GROUP, "inline(array(struct('L' AS side, plan_id_l AS plan_id), struct('H' AS side, plan_id_h AS plan_id)))"
+    ).where("plan_id IS NOT NULL")
 
 
 def plan_indicators(members: DataFrame, plan: DataFrame, p: CompareParams, engine: str = "xpath") -> DataFrame:
@@ -36,20 +32,18 @@ def plan_indicators(members: DataFrame, plan: DataFrame, p: CompareParams, engin
     fetched = members.join(plan.select("side", "plan_id", "query_plan"), ["side", "plan_id"])
     base = [*members.columns, "query_plan", text_digest(F.col("query_plan"), p.charset).alias("plan_xml_hash")]
     if engine == "xpath":
-        return fetched.select(*base, *indicator_columns(F.col("query_plan")))
+        return fetched.select(*base).selectExpr("*", *indicator_columns("query_plan"))
     return fetched.select(*base, tolerant_indicators(F.col("query_plan")).alias("i")).select(
         *members.columns, "query_plan", "plan_xml_hash", "i.*"
     )
 
 
-def difference_flags() -> Column:
+def difference_flags() -> str:
     """Flags for every indicator that differs between ``…_l`` and ``…_h``."""
-    checks = [(~F.col("plan_xml_hash_l").eqNullSafe(F.col("plan_xml_hash_h")), SHAPE_FLAG)]
-    for i in INDICATORS:
-        low = F.coalesce(F.col(f"{i.name}_l"), F.lit(i.missing))
-        high = F.coalesce(F.col(f"{i.name}_h"), F.lit(i.missing))
-        checks.append((low != high, i.flag))
-    return flag_text(checks)
+    return flag_text([
+        ("NOT (plan_xml_hash_l <=> plan_xml_hash_h)", SHAPE_FLAG),
+        *[(f"coalesce({i.name}_l, {i.missing}) != coalesce({i.name}_h, {i.missing})", i.flag) for i in INDICATORS],
+    ])
 
 
 def shape_diff(regressions: DataFrame, pairs: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -61,8 +55,6 @@ def shape_diff(regressions: DataFrame, pairs: DataFrame, indicators: DataFrame)
     joined = regressions.join(pairs.select(*GROUP, "plan_id_l", "plan_id_h"), GROUP)
     facts = ["query_plan", "plan_xml_hash", *[i.name for i in INDICATORS]]
     for tag, side in (("l", "L"), ("h", "H")):
-        of_side = indicators.where(F.col("side") == side).select(
-            *GROUP, *[F.col(c).alias(f"{c}_{tag}") for c in facts]
-        )
+        of_side = indicators.where(f"side = '{side}'").selectExpr(*GROUP, *[f"{c} AS {c}_{tag}" for c in facts])
         joined = joined.join(of_side, GROUP, "left")
-    return joined.withColumn("diff_flags", difference_flags())
+    return joined.selectExpr("*", f"{difference_flags()} AS diff_flags")

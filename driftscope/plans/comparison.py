@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from driftscope.operators.compare import compare, group_names, is_multi_plan, regressed
+from driftscope.operators.compare import IS_MULTI_PLAN, compare, group_names, regressed
 from driftscope.operators.dominant import dominant_pairs, multi_plan_dominant
 from driftscope.operators.drilldown import multi_plan_detail
 from driftscope.operators.groups import group_stats, identify
@@ -23,17 +23,40 @@ from driftscope.sources.sides import Sides
 class Comparison:
     """The four result sets of one run under one set of parameters.
 
-    Each attribute is a DataFrame that computes nothing until it is used.  Call
-    :meth:`keep` before asking for several result sets, so that plans and
-    groups, which all of them start from, are computed once.
+    Each attribute is a DataFrame that computes nothing until it is used.  All
+    result sets start from the group statistics, which are small beside the run
+    statistics, so these are stored on first use (memory, then disk; what an
+    executor loses is computed again).  ``store`` says what is stored: "groups",
+    "plans" for both groups and plan statistics, which a drill-down also starts
+    from, or None.  Use it as a context manager or call :meth:`release`.
     """
 
-    def __init__(self, run: Run, params: CompareParams, sides: Sides, engine: str = "xpath"):
-        self.run, self.params, self.sides, self.engine = run, params, sides, engine
+    def __init__(self, run: Run, params: CompareParams, sides: Sides, engine: str = "xpath",
+                 store: str | None = "groups"):
+        if store not in ("groups", "plans", None):
+            raise ValueError(f"store must be groups, plans or None, not {store!r}")
+        self.run, self.params, self.sides, self.engine, self.store = run, params, sides, engine, store
+        self._stored: list[DataFrame] = []
+
+    def __enter__(self) -> Comparison:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def release(self) -> None:
+        for frame in self._stored:
+            frame.unpersist()
+        self._stored.clear()
+
+    def _keep(self, frame: DataFrame, wanted: bool) -> DataFrame:
+        if wanted:
+            self._stored.append(frame.persist())
+        return frame
 
     @cached_property
     def plan_stats(self) -> DataFrame:
-        return plan_stats(self.run, self.params)
+        return self._keep(plan_stats(self.run, self.params), self.store == "plans")
 
     @cached_property
     def plans(self) -> DataFrame:
@@ -41,7 +64,7 @@ class Comparison:
 
     @cached_property
     def groups(self) -> DataFrame:
-        return group_stats(self.plans, self.params)
+        return self._keep(group_stats(self.plans, self.params), self.store is not None)
 
     @cached_property
     def compared(self) -> DataFrame:
@@ -54,7 +77,7 @@ class Comparison:
 
     @cached_property
     def multi_plan_regressions(self) -> DataFrame:
-        return self.regressions.where(is_multi_plan())
+        return self.regressions.where(IS_MULTI_PLAN)
 
     @cached_property
     def regressed_groups(self) -> DataFrame:
@@ -95,16 +118,6 @@ class Comparison:
         """Rows for :mod:`driftscope.plans.persist`."""
         return reports.result_rows(self.regressions, self.pairs, self.params, self.sides)
 
-    def keep(self) -> Comparison:
-        """Store plans and groups on first use (memory, then disk)."""
-        self.plans = self.plans.persist()
-        self.groups = self.groups.persist()
-        return self
-
-    def release(self) -> None:
-        self.groups.unpersist()
-        self.plans.unpersist()
-
     def timed(self, steps: Steps) -> Comparison:
         """Compute and store the intermediates one after another, timing each."""
         start = dt.datetime.now()
