@@ -6,8 +6,7 @@ SQL.  Times are taken as they are stored, in the session's time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from driftscope.sources.runs import Run
 from driftscope.sources.sides import Sides
@@ -29,145 +28,103 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _tables[key]
 
 
-def _both_sides() -> Column:
-    return F.explode(F.array(F.lit("L"), F.lit("H"))).alias("side")
-
-
-def _quarter(key: Column) -> Column:
-    return F.floor(key / 4)
+BOTH_SIDES = "explode(array('L', 'H')) AS side"
+PART_QUARTER = "floor(p_partkey / 4)"
+LINE_SIDE = "if(l_linestatus = 'F', 'L', 'H') AS side"
+MONTH = "cast(year(l_shipdate) * 12 + month(l_shipdate) AS bigint) AS runtime_stats_interval_id"
 
 
 def derived_run(spark: SparkSession, sf_dir: str) -> Run:
     lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return Run(
         runtime_stats=_runtime_stats(lineitem), interval=_intervals(lineitem), plan=_plans(part),
         query=_queries(part), query_text=_texts(part),
-        objects=nation.select(
-            _both_sides(), (F.col("n_nationkey") + 1).cast("int").alias("object_id"),
-            F.col("n_name").alias("name"), F.col("n_regionkey").alias("schema_id")),
-        schemas=region.select(
-            _both_sides(), F.col("r_regionkey").alias("schema_id"), F.col("r_name").alias("name")),
+        objects=table(spark, sf_dir, "nation").selectExpr(
+            BOTH_SIDES, "cast(n_nationkey + 1 AS int) AS object_id", "n_name AS name", "n_regionkey AS schema_id"),
+        schemas=table(spark, sf_dir, "region").selectExpr(BOTH_SIDES, "r_regionkey AS schema_id", "r_name AS name"),
     )
 
 
-def _line_side() -> Column:
-    return F.when(F.col("l_linestatus") == "F", F.lit("L")).otherwise(F.lit("H"))
-
-
-def _month() -> Column:
-    return (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint")
-
-
-def _percent(name: str) -> Column:
-    return (F.col(name).cast(MONEY) * 100).cast("bigint")
-
-
 def _runtime_stats(lineitem: DataFrame) -> DataFrame:
-    key, low = F.col("l_partkey"), F.col("l_linestatus") == "F"
-    only_high, only_low = (key % 50).isin(14, 15), (key % 50).isin(22, 23)
-    return lineitem.where(~(low & only_high) & ~(~low & only_low)).select(
-        _line_side().alias("side"),
-        (key * 10 + F.when(_quarter(key) % 3 == 0, 0).otherwise(F.col("l_linenumber") % 3)).alias("plan_id"),
-        _month().alias("runtime_stats_interval_id"),
-        F.lit(1).alias("replica_group_id"),
-        F.col("l_quantity").cast("bigint").alias("count_executions"),
-        F.when((key % 50).isin(26, 27) & low, F.lit(0).cast(MONEY))
-        .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("avg_logical_io_reads"),
-        (_percent("l_discount") + 1).cast(MONEY).alias("avg_cpu_time"),
-        (_percent("l_tax") * 10 + F.col("l_linenumber")).cast(MONEY).alias("avg_duration"),
+    return lineitem.where(
+        "NOT (l_linestatus = 'F' AND l_partkey % 50 IN (14, 15)) AND NOT (l_linestatus = 'O' AND l_partkey % 50 IN (22, 23))"
+    ).selectExpr(
+        LINE_SIDE,
+        "l_partkey * 10 + if(floor(l_partkey / 4) % 3 = 0, 0, l_linenumber % 3) AS plan_id",
+        MONTH,
+        "1 AS replica_group_id",
+        "cast(l_quantity AS bigint) AS count_executions",
+        f"if(l_partkey % 50 IN (26, 27) AND l_linestatus = 'F', cast(0 AS {MONEY}), cast(l_extendedprice AS {MONEY}))"
+        " AS avg_logical_io_reads",
+        f"cast(cast(cast(l_discount AS {MONEY}) * 100 AS bigint) + 1 AS {MONEY}) AS avg_cpu_time",
+        f"cast(cast(cast(l_tax AS {MONEY}) * 100 AS bigint) * 10 + l_linenumber AS {MONEY}) AS avg_duration",
     )
 
 
 def _intervals(lineitem: DataFrame) -> DataFrame:
-    start = F.date_trunc("month", "l_shipdate")
-    return lineitem.select(
-        _line_side().alias("side"), _month().alias("runtime_stats_interval_id"), start.alias("start_time"),
-    ).distinct().withColumn("end_time", F.col("start_time") + F.make_ym_interval(F.lit(0), F.lit(1)))
+    return lineitem.selectExpr(LINE_SIDE, MONTH, "date_trunc('month', l_shipdate) AS start_time").distinct().selectExpr(
+        "*", "start_time + INTERVAL '1' MONTH AS end_time")
 
 
 def _plans(part: DataFrame) -> DataFrame:
-    key, high = F.col("p_partkey"), F.col("side") == "H"
-    sides = part.select("p_partkey", "p_size", _both_sides())
-    plans = sides.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("d"))
-
-    def node(condition: Column, xml: str) -> Column:
-        return F.when(condition, F.lit(xml)).otherwise(F.lit(""))
-
-    scan = (
-        F.when(F.col("d") == 0, F.lit('<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'))
-        .when(F.col("d") == 1, F.lit('<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'))
-        .otherwise(F.lit('<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"/><RelOp PhysicalOp="Sort" LogicalOp="Sort"/>'))
-    )
-    xml = F.concat(
-        F.lit('<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan">'), scan,
-        node(high & (key % 5 == 0), '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>'),
-        node(high & (key % 7 == 0), "<Warnings><SpillToTempDb/></Warnings>"),
-        F.lit('<MemoryGrantInfo GrantedMemory="'), (F.col("p_size") % 8 * 1024).cast("string"),
-        F.lit('"/></ShowPlanXML>'),
-    )
-    return plans.select(
-        "side", (key * 10 + F.col("d")).alias("plan_id"), key.alias("query_id"),
-        F.when(key % 97 != 0, xml).alias("query_plan"),
+    return part.selectExpr("p_partkey", "p_size", BOTH_SIDES).selectExpr(
+        "*", "explode(array(0, 1, 2)) AS d"
+    ).selectExpr(
+        "side", "p_partkey * 10 + d AS plan_id", "p_partkey AS query_id",
+        """if(p_partkey % 97 = 0, NULL, concat(
+            '<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan">',
+            CASE d WHEN 0 THEN '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'
+             WHEN 1 THEN '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'
+             ELSE '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"/><RelOp PhysicalOp="Sort" LogicalOp="Sort"/>' END,
+            if(side = 'H' AND p_partkey % 5 = 0, '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>', ''),
+            if(side = 'H' AND p_partkey % 7 = 0, '<Warnings><SpillToTempDb/></Warnings>', ''),
+            '<MemoryGrantInfo GrantedMemory="', cast(1024 * (p_size % 8) AS string), '"/></ShowPlanXML>')) AS query_plan""",
     )
 
 
 def _queries(part: DataFrame) -> DataFrame:
-    key, quarter = F.col("p_partkey"), _quarter(F.col("p_partkey"))
-    return part.select(
-        _both_sides(), key.alias("query_id"), key.alias("query_text_id"),
-        F.when(quarter % 3 == 0, key + 1000000000).otherwise(F.floor(key / 2)).alias("query_hash"),
-        F.when(quarter % 5 == 0, F.lit(None)).when(quarter % 5 == 1, 0).otherwise(quarter % 25 + 1)
-        .cast("int").alias("object_id"),
-        F.when(key % 61 == 0, 1).otherwise(0).alias("is_internal_query"),
+    return part.selectExpr(
+        BOTH_SIDES, "p_partkey AS query_id", "p_partkey AS query_text_id",
+        f"if({PART_QUARTER} % 3 = 0, 1000000000 + p_partkey, floor(p_partkey / 2)) AS query_hash",
+        f"""cast(CASE {PART_QUARTER} % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE {PART_QUARTER} % 25 + 1 END AS int)
+            AS object_id""",
+        "if(p_partkey % 61 = 0, 1, 0) AS is_internal_query",
     )
 
 
 def _texts(part: DataFrame) -> DataFrame:
-    key, quarter = F.col("p_partkey"), _quarter(F.col("p_partkey"))
-    starts = ("SELECT * FROM t", "(@p int)SELECT c FROM t", "INSERT INTO t", "UPDATE t", "DELETE FROM t",
-              "WITH c AS (SELECT 1 AS x) UPDATE t", "MERGE t")
-    return part.select(
-        _both_sides(), key.alias("query_text_id"),
-        F.concat(
-            F.element_at(F.array(*[F.lit(s) for s in starts]), (quarter % 7 + 1).cast("int")),
-            F.when(key % 2 == 0, F.lit(" ")).otherwise(F.lit("\t")), F.lit("K"),
-            F.when(quarter % 10 == 0, quarter).otherwise(F.floor(key / 2)).cast("string"),
-        ).alias("query_sql_text"),
+    return part.selectExpr(
+        BOTH_SIDES, "p_partkey AS query_text_id",
+        f"""concat(CASE {PART_QUARTER} % 7 WHEN 0 THEN 'SELECT * FROM t' WHEN 1 THEN '(@p int)SELECT c FROM t'
+             WHEN 2 THEN 'INSERT INTO t' WHEN 3 THEN 'UPDATE t' WHEN 4 THEN 'DELETE FROM t'
+             WHEN 5 THEN 'WITH c AS (SELECT 1 AS x) UPDATE t' ELSE 'MERGE t' END,
+            if(p_partkey % 2 = 0, ' ', char(9)), 'K',
+            cast(if({PART_QUARTER} % 10 = 0, {PART_QUARTER}, floor(p_partkey / 2)) AS string)) AS query_sql_text""",
     )
 
 
 def captured_events(events: DataFrame) -> DataFrame:
     """Batch frame or stream of ``events`` as statement events."""
-    user = F.col("user_id").cast("string")
-    quote = F.lit("'")
-    kind, event = F.col("event_type"), F.col("event_id")
-    dynamic = (kind == "click") & (F.col("user_id") % 5 == 0)
-    call = (
-        F.when(event % 11 == 0, F.lit("exec sp_reset_connection"))
-        .when(dynamic, F.concat(F.lit("exec sp_executesql N"), quote, F.lit("SELECT "), user, quote))
-        .when(kind == "click", F.concat(
-            F.lit("exec dbo.sp_UpdateUser @UserID="), user, F.lit(",@NewLastName=N'Doe',@NewFirstName=Jo")))
-        .when(F.col("user_id") % 7 == 0, F.concat(F.lit("declare @o int exec dbo.sp_AddOrder @UserID="), user))
-        .otherwise(F.concat(F.lit("exec dbo.sp_AddOrder @UserID="), user, F.lit(",@OrderDate=2023-01-01")))
-    )
-    batch = F.when(event % 13 == 0, F.lit("EXEC sp_reset_connection")).otherwise(
-        F.concat(F.lit("SELECT * FROM t WHERE k="), user, F.lit(";")))
-    return events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"),
-        F.floor(F.regexp_extract("props", "[0-9]+", 0).cast("int") / 25).cast("int").alias("database_id"),
-        F.when(kind == "error", F.lit("cap_00.xel"))
-        .otherwise(F.concat(F.lit("cap_"), F.lpad(F.day("ts").cast("string"), 2, "0"), F.lit(".xel")))
-        .alias("file_name"),
-        F.when(kind.isin("click", "purchase"), F.lit("rpc_completed"))
-        .when(kind.isin("view", "signup"), F.lit("sql_batch_completed"))
-        .otherwise(F.lit("attention")).alias("event_name"),
-        F.when(dynamic, F.lit("sp_executesql")).when(kind == "click", F.lit("sp_UpdateUser"))
-        .when(kind == "purchase", F.lit("sp_AddOrder")).alias("object_name"),
-        F.when(kind.isin("click", "purchase"), call).alias("statement"),
-        F.when(kind.isin("view", "signup"), batch).alias("batch_text"),
-        F.col("value").cast(MONEY).alias("duration"),
-        F.when(F.col("value") <= 40, 1).otherwise(0).alias("succeeded"),
+    return events.selectExpr(
+        "event_id", "cast(ts AS timestamp) AS ts", "user_id AS session_id",
+        "cast(floor(cast(regexp_extract(props, '[0-9]+', 0) AS int) / 25) AS int) AS database_id",
+        """if(event_type = 'error', 'cap_00.xel', concat('cap_', lpad(cast(day(ts) AS string), 2, '0'), '.xel'))
+            AS file_name""",
+        """CASE WHEN event_type IN ('click', 'purchase') THEN 'rpc_completed'
+            WHEN event_type IN ('view', 'signup') THEN 'sql_batch_completed' ELSE 'attention' END AS event_name""",
+        """CASE WHEN event_type = 'click' AND user_id % 5 = 0 THEN 'sp_executesql' WHEN event_type = 'click' THEN
+            'sp_UpdateUser' WHEN event_type = 'purchase' THEN 'sp_AddOrder' END AS object_name""",
+        """CASE WHEN event_type NOT IN ('click', 'purchase') THEN NULL
+            WHEN event_id % 11 = 0 THEN 'exec sp_reset_connection'
+            WHEN event_type = 'click' AND user_id % 5 = 0 THEN concat("exec sp_executesql N'SELECT ", user_id, "'")
+            WHEN event_type = 'click' THEN
+             concat('exec dbo.sp_UpdateUser @UserID=', user_id, ",@NewLastName=N'Doe',@NewFirstName=Jo")
+            WHEN user_id % 7 = 0 THEN concat('declare @o int exec dbo.sp_AddOrder @UserID=', user_id)
+            ELSE concat('exec dbo.sp_AddOrder @UserID=', user_id, ',@OrderDate=2023-01-01') END AS statement""",
+        """CASE WHEN event_type NOT IN ('view', 'signup') THEN NULL
+            WHEN event_id % 13 = 0 THEN 'EXEC sp_reset_connection'
+            ELSE concat('SELECT * FROM t WHERE k=', user_id, ';') END AS batch_text""",
+        f"cast(value AS {MONEY}) AS duration", "if(value <= 40, 1, 0) AS succeeded",
     )
 
 
