@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftscope.functions import statement as st
-from driftscope.operators.numbering import BLOCK, block_counts, number_rows
+from driftscope.operators.numbering import WIDTH, block_counts, block_offsets, number_rows
 from driftscope.params import ParameterError
 
 # What the capture and the replay can be limited to.
@@ -90,30 +90,26 @@ def require_events(events: DataFrame) -> None:
 
 
 def sequence(events: DataFrame, file: str = "file_name", created: str = "file_created",
-             order_id: str = "event_id", block_size: int = BLOCK) -> DataFrame:
+             order_id: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Global position and cumulative share of each event, files by creation time.
 
     Within a file events keep their order, given by ``order_id``.  The percent
     is cut to a whole number.  Besides the events themselves, shuffled once on
     (file, block of ids), only counts are touched: per block, then per file.
     """
-    blocks = block_counts(events, [file], order_id, block_size, F.min(created).alias("_created"))
-    first_seen = blocks.groupBy(file).agg(F.min("_created").alias("_created"), F.sum("_rows").alias("_in_file"))
-    # one row per file from here: the only window over everything
-    by_age = Window.orderBy("_created", file)
-    files = first_seen.select(
+    blocks = block_counts(events, [file], order_id, width, F.min(created).alias("_created"))
+    in_file = block_offsets(blocks, [file], width)
+    by_file = blocks.groupBy(file).agg(F.min("_created").alias("_created"), F.sum("_rows").alias("_in_file"))
+    # one row per file: the only windows over everything
+    earlier = Window.orderBy("_created", file).rowsBetween(Window.unboundedPreceding, -1)
+    files = by_file.select(
         file,
-        F.coalesce(F.sum("_in_file").over(by_age.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+        F.coalesce(F.sum("_in_file").over(earlier), F.lit(0)).alias("_earlier"),
         F.sum("_in_file").over(Window.partitionBy()).alias("total_count"),
     )
-    in_file = Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.join(files, file).select(
-        file, "_block", "total_count",
-        (F.col("_earlier") + F.coalesce(F.sum("_rows").over(in_file), F.lit(0))).alias("_before"),
-    )
-    numbered = number_rows(events, order_id, "exec_no", [file], offsets, block_size)
-    return numbered.withColumn(
-        "percent", F.expr("exec_no * 100 div total_count").cast("int")
+    offsets = in_file.join(files, file).selectExpr(file, "_block", "total_count", "_before + _earlier AS _before")
+    return number_rows(events, order_id, "exec_no", [file], offsets, width).withColumn(
+        "percent", F.expr("cast(exec_no * 100 div total_count AS int)")
     )
 
 

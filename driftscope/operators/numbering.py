@@ -1,9 +1,11 @@
-"""Row numbers over large groups without putting a group into one task.
+"""Row numbers and ranks over large groups without putting a group into one task.
 
-Rows need a whole-number id that is unique in its group.  Ids are cut into
-blocks of a fixed size, so a block holds at most that many rows whatever the
-group; rows are numbered inside their block and shifted by the rows of earlier
-blocks.  Only block counts, one row per block, are summed up per group.
+Rows need a whole number that orders them and is unique in its group.  The
+numbers are cut into blocks of fixed width, so a block holds at most that many
+rows whatever the group; rows are numbered inside their block and shifted by
+the rows of earlier blocks.  Blocks are summed up the same way, inside stretches
+of fixed width and then stretch by stretch, so no window is larger than WIDTH
+rows until ids exceed WIDTH cubed.
 """
 
 from __future__ import annotations
@@ -11,35 +13,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+WIDTH = 1 << 20
 
 
-def _block(order_id: str, block_size: int) -> Column:
-    return F.floor(F.col(order_id) / F.lit(block_size)).alias("_block")
+def _block(order_id: str, width: int) -> Column:
+    return F.expr(f"{order_id} div {width} AS _block")
 
 
-def block_counts(df: DataFrame, group: list[str], order_id: str, block_size: int = BLOCK,
-                 *more: Column) -> DataFrame:
+def block_counts(df: DataFrame, group: list[str], order_id: str, width: int = WIDTH, *more: Column) -> DataFrame:
     """Rows per group and block, with further aggregates if wanted."""
-    return df.groupBy(*group, _block(order_id, block_size)).agg(F.count(F.lit(1)).alias("_rows"), *more)
+    return df.groupBy(*group, _block(order_id, width)).agg(F.expr("count(1) AS _rows"), *more)
+
+
+def _rows_before(group: list[str], order: str, rows: str) -> Column:
+    window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(rows).over(window), F.lit(0))
+
+
+def block_offsets(blocks: DataFrame, group: list[str], width: int = WIDTH) -> DataFrame:
+    """``_before``: rows of the group in earlier blocks, for each block."""
+    located = blocks.selectExpr(*group, "_block", "_rows", f"_block div {width} AS _stretch")
+    inside = located.withColumn("_in_stretch", _rows_before([*group, "_stretch"], "_block", "_rows"))
+    stretches = located.groupBy(*group, "_stretch").agg(F.expr("sum(_rows) AS _rows")).withColumn(
+        "_earlier", _rows_before(group, "_stretch", "_rows")).drop("_rows")
+    return inside.join(stretches, [*group, "_stretch"]).selectExpr(
+        *group, "_block", "_in_stretch + _earlier AS _before")
 
 
 def number_rows(df: DataFrame, order_id: str, name: str = "row_number", group: list[str] | None = None,
-                offsets: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
+                offsets: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """Add the position of each row, counted from 1, in the order of ``order_id``.
 
     ``group`` starts again at 1 for each group.  ``offsets`` (group, ``_block``,
     ``_before`` and any columns to attach) replaces the running sums per group.
     """
     group = group or []
-    blocked = df.withColumn("_block", _block(order_id, block_size))
     if offsets is None:
-        earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = block_counts(df, group, order_id, block_size).select(
-            *group, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-        )
+        offsets = block_offsets(block_counts(df, group, order_id, width), group, width)
     inside = Window.partitionBy(*group, "_block").orderBy(order_id)
-    numbered = blocked.withColumn("_inside", F.row_number().over(inside))
+    numbered = df.withColumn("_block", _block(order_id, width)).withColumn("_inside", F.row_number().over(inside))
     return numbered.join(offsets, [*group, "_block"]).withColumn(
-        name, (F.col("_inside") + F.col("_before")).cast("bigint")
+        name, F.expr("cast(_inside + _before AS bigint)")
     ).drop("_block", "_inside", "_before")
+
+
+def value_ranks(df: DataFrame, group: list[str], value: str, name: str, scale: int = 0,
+                width: int = WIDTH) -> DataFrame:
+    """The distinct values of each group with their dense rank, the largest first.
+
+    ``scale`` is the number of decimal places of ``value``, which turns it into
+    a whole number.
+    """
+    order = f"-{value}" if scale == 0 else f"cast(-{value} * {10 ** scale} AS decimal(38,0))"
+    distinct = df.select(*group, value).distinct().selectExpr("*", f"{order} AS _order")
+    return number_rows(distinct, "_order", name, group, width=width).selectExpr(
+        *group, value, f"cast({name} AS int) AS {name}")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from driftscope.operators.compare import IS_MULTI_PLAN, compare, group_names, regressed
 from driftscope.operators.dominant import dominant_pairs, multi_plan_dominant
-from driftscope.operators.drilldown import multi_plan_detail
+from driftscope.operators.drilldown import largest_ranking, multi_plan_detail, multi_plan_rows
 from driftscope.operators.groups import group_stats, identify
 from driftscope.operators.preagg import plan_stats
 from driftscope.operators.shape import pair_members, plan_indicators, shape_diff
@@ -92,6 +92,11 @@ class Comparison:
     def multi_plan_pairs(self) -> DataFrame:
         return multi_plan_dominant(self.groups, group_names(self.multi_plan_regressions))
 
+    @cached_property
+    def multi_plan_rows(self) -> DataFrame:
+        keys = group_names(self.multi_plan_regressions)
+        return self._keep(multi_plan_rows(self.plans, keys), self.store is not None)
+
     @cached_property
     def indicators(self) -> DataFrame:
         return plan_indicators(pair_members(self.multi_plan_pairs), self.run.plan, self.params, self.engine)
@@ -105,9 +110,10 @@ class Comparison:
         return reports.summary(self.regressions, self.params, self.sides)
 
     def drilldown(self) -> DataFrame:
-        """Result set 3."""
-        keys = group_names(self.multi_plan_regressions)
-        return reports.drilldown(multi_plan_detail(self.plans, keys, self.run.plan, self.params), self.sides)
+        """Result set 3.  Looks at the sizes of groups first, so this runs a job if anything is stored."""
+        rows = self.multi_plan_rows
+        largest = largest_ranking(rows) if self.store else None
+        return reports.drilldown(multi_plan_detail(rows, self.run.plan, self.params, largest), self.sides)
 
     def shape_report(self) -> DataFrame:
         """Result set 4."""
