@@ -75,12 +75,12 @@ def update_by_key(table: DataFrame, requests: DataFrame, key: str, sequence: str
 
 def without(table: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows whose key is not among ``keys`` (anti-join)."""
-    return table.join(keys.select(*columns).distinct(), list(columns), "left_anti")
+    return table.join(keys.select(*columns).distinct(), list(columns), "left_anti").select(*table.columns)
 
 
 def matching(table: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """Rows whose key is among ``keys`` (semi-join); for a list of keys to look up."""
-    return table.join(keys.select(*columns), list(columns), "left_semi")
+    return table.join(keys.select(*columns), list(columns), "left_semi").select(*table.columns)
 
 
 def delete_cascade(keys: DataFrame, key: str, parent: DataFrame, children: Mapping[str, DataFrame],
@@ -108,9 +108,7 @@ def guarded(requests: DataFrame, guards: Sequence[Guard]) -> DataFrame:
     failed = [
         F.when(F.col(f"_found_{n}").isNull(), F.lit(guard.message)) for n, guard in enumerate(guards)
     ]
-    return checked.withColumn("status", F.coalesce(*failed, F.lit(ACCEPTED))).drop(
-        *[f"_found_{n}" for n in range(len(guards))]
-    )
+    return checked.select(*requests.columns, F.coalesce(*failed, F.lit(ACCEPTED)).alias("status"))
 
 
 def guarded_insert(table: DataFrame, requests: DataFrame, guards: Sequence[Guard], key: str, order_id: str,
