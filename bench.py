@@ -20,12 +20,10 @@ from contract.queries import QUERIES  # noqa: E402
 from driftscope.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "plan_preagg", "plan_preagg_window", "text_dedup_documents", "statement_type", "group_agg_hash",
-    "group_agg_normalized", "compare_hash", "compare_text", "compare_normalized", "compare_merged",
-    "dominant_pairs", "plan_indicators", "regression_overview", "regression_summary", "multi_plan_drilldown",
-    "plan_shape_diff", "persisted_regressions", "collection_check", "event_counts_by_file", "statement_rewrite",
-    "statement_parameters", "replay_sequence", "interval_rollup", "stream_classified", "stream_interval_rollup",
-    "add_with_child", "update_by_key", "delete_cascade", "guarded_insert", "seed_tables",
+    "plan_preagg", "group_agg_hash", "compare_hash", "compare_normalized", "regression_overview",
+    "regression_summary", "multi_plan_drilldown", "plan_shape_diff", "persisted_regressions", "collection_check",
+    "text_dedup_documents", "statement_rewrite", "replay_sequence", "interval_rollup", "stream_interval_rollup",
+    "update_by_key", "delete_cascade", "guarded_insert",
 )
 
 

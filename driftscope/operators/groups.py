@@ -49,10 +49,10 @@ def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
 
     Also attaches the text samples and ``candidate``, the struct whose maximum
     is the most executed plan.  Columns nobody asks for later are pruned, text
-    included.
+    included.  The join itself keeps texts in use; restricting them beforehand
+    would compute the plans twice.
     """
-    ids = plans if p.restricts_rows else None
-    texts = text_features(run.query_text, p, ids)
+    texts = text_features(run.query_text, p)
     if p.statement_type != "ALL":
         texts = texts.where(f"detected_type = '{p.statement_type}'")
     known = plans.join(texts, ["side", "query_text_id"]).join(

@@ -81,12 +81,6 @@ class CompareParams:
             ratio = Decimal(str(self.min_ratio)).quantize(Decimal("0.0001"))
             object.__setattr__(self, "min_ratio", ratio)
 
-    @property
-    def restricts_rows(self) -> bool:
-        """True if some texts may be out of use under these parameters."""
-        return (self.start is not None or self.end is not None
-                or not (self.include_adhoc and self.include_sp) or self.primary_replica_only)
-
 
 def check_table_name(name: str) -> str:
     """A results table needs a schema and a name: ``schema.table``."""

@@ -26,9 +26,10 @@ class Comparison:
     Each attribute is a DataFrame that computes nothing until it is used.  All
     result sets start from the group statistics, which are small beside the run
     statistics, so these are stored on first use (memory, then disk; what an
-    executor loses is computed again).  ``store`` says what is stored: "groups",
-    "plans" for both groups and plan statistics, which a drill-down also starts
-    from, or None.  Use it as a context manager or call :meth:`release`.
+    executor loses is computed again), and so are the rows of multi-plan groups,
+    which several steps share.  ``store`` says how much: "groups", "plans" to
+    store plan statistics too, which a drill-down also starts from, or None.
+    Use it as a context manager or call :meth:`release`.
     """
 
     def __init__(self, run: Run, params: CompareParams, sides: Sides, engine: str = "xpath",
@@ -77,7 +78,7 @@ class Comparison:
 
     @cached_property
     def multi_plan_regressions(self) -> DataFrame:
-        return self.regressions.where(IS_MULTI_PLAN)
+        return self._keep(self.regressions.where(IS_MULTI_PLAN), self.store is not None)
 
     @cached_property
     def regressed_groups(self) -> DataFrame:
@@ -90,7 +91,8 @@ class Comparison:
 
     @cached_property
     def multi_plan_pairs(self) -> DataFrame:
-        return multi_plan_dominant(self.groups, group_names(self.multi_plan_regressions))
+        keys = group_names(self.multi_plan_regressions)
+        return self._keep(multi_plan_dominant(self.groups, keys), self.store is not None)
 
     @cached_property
     def multi_plan_rows(self) -> DataFrame:

@@ -10,7 +10,6 @@ def test_defaults():
     p = CompareParams()
     assert (p.metric, p.group_by, p.statement_type) == ("LogicalReads", "QueryHash", "ALL")
     assert (p.min_exec, p.min_ratio, p.top_n) == (100, Decimal("1.25"), 100)
-    assert not p.restricts_rows
 
 
 @pytest.mark.parametrize("name, value", [
