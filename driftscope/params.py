@@ -26,9 +26,10 @@ class CompareParams:
     """What to compare and what counts as a regression.
 
     ``charset`` is the encoding texts are hashed in; UTF-16LE gives the digests
-    a SQL Server host gives for ``nvarchar``.  ``key_chars`` cuts texts before
+    of a database that stores texts so.  ``key_chars`` cuts texts before
     they become a grouping key or are searched for a statement type; None (the
-    default) uses whole texts, 4000 gives the host's keys.  ``sample_chars`` is
+    default) uses whole texts, 4000 gives the keys
+    of a database that cuts them there.  ``sample_chars`` is
     the length of the text shown in reports.  ``merge_groups`` keeps one group
     per key, type and object name instead of splitting it by query hash and
     object id as well.
