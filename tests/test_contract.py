@@ -23,6 +23,43 @@ def test_query(spark, duck, name):
     assert rows > 0
 
 
+LARGE_TABLE_SETTINGS = {
+    # what large inputs bring about: no broadcasts, many shuffle partitions, skewed ones split
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+}
+
+
+@pytest.fixture
+def large_table_plans(spark):
+    before = {key: spark.conf.get(key, None) for key in LARGE_TABLE_SETTINGS}
+    for key, value in LARGE_TABLE_SETTINGS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", ["compare_normalized", "plan_shape_diff", "multi_plan_drilldown", "delete_cascade",
+                                  "guarded_insert_two", "replay_sequence"])
+def test_query_with_plans_for_large_tables(spark, duck, large_table_plans, name):
+    problem, _ = compare(spark, duck, name, contract.queries()[name], contract.oracle_sql()[name], SF_DIR)
+    assert not problem
+
+
+def test_statistics_are_aggregated_before_plans_join(spark):
+    """The big table is shuffled once, after partial aggregation, and read for the asked columns only."""
+    from contract.queries import comparison
+    plan = comparison(spark, SF_DIR, None).plan_stats.select("plan_id", "sum_exec")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.index("Join [side") < physical.index("functions=[partial_sum(count_executions")
+    scan = next(line for line in physical.splitlines() if "FileScan" in line and "l_quantity" in line)
+    assert "l_extendedprice" not in scan and "l_tax" not in scan
+
+
 def test_only_timings_lack_sql():
     assert set(contract.queries()) - set(contract.oracle_sql()) == {"step_metrics"}
 
