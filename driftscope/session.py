@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder the cluster names.
+    """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is the cluster's shared folder.  Only where it is
-    unset, as in a plain local session, a temporary folder takes its place.
+    Only a single-machine session may leave that unset; a temporary folder
+    takes its place there.  On a cluster that is an error, because executors
+    would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="driftscope-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
