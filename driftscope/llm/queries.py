@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftscope.llm import langid
+from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
 
@@ -25,7 +26,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
 }

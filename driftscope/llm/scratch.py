@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from functools import lru_cache
+from pathlib import Path
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +57,21 @@ def positions(scratch: Scratch, df: DataFrame, order: list[str], name: str = "po
         "_inside", "_before", "_range")
 
 
+@lru_cache(maxsize=4)
+def _ship(application: str) -> None:
+    root = Path(__file__).resolve().parents[2]
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/driftscope", "zip", root, "driftscope")
+        SparkContext.getOrCreate().addPyFile(archive)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, unless they are told where it lies."""
+    _ship(spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
