@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import langid
+from driftscope.llm import langid, mixing, urlfilter
 from driftscope.llm import tokens as token_files
-from driftscope.llm.scratch import table
+from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
 
 
@@ -26,6 +26,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "mix-sources")
+    docs = table(spark, sf_dir, "documents")
+    sizes = scratch.keep(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes")
+    targets = scratch.keep(mixing.source_targets(scratch, sizes), "targets")
+    mixed = mixing.with_copies(sizes, targets)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: (verdict, host, path)
+RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.judge(pages, urlfilter.rule_table(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,9 +53,62 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op6_url_rules": op6_url_rules,
     "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+MIX_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), by_source AS (
+    SELECT source, sum(size)::BIGINT AS s,
+           [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
+    FROM sized GROUP BY source
+), levels AS (
+    SELECT *, coalesce(sum(3 * s) OVER earlier, 0) AS fixed, sum(w) OVER later AS rest, sum(s) OVER () AS total
+    FROM by_source
+    WINDOW earlier AS (ORDER BY s::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           later AS (ORDER BY s::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), water AS (
+    SELECT min_by(fixed, fixed) AS fixed, max(rest) AS rest, max(total) AS total
+    FROM levels WHERE (total - fixed) * w <= 3 * s * rest
+), targets AS (
+    SELECT source, s, CASE WHEN (total - water.fixed) * w > 3 * s * water.rest THEN (3 * s)::DOUBLE
+                           ELSE ((total - water.fixed) * w)::DOUBLE / water.rest::DOUBLE END AS target
+    FROM by_source, water
+), rated AS (
+    SELECT doc_id, size, s, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate,
+           ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, s AS source_size, target,
+       size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken
+FROM rated
+"""
+
+URL_SQL = r"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+    SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest
+), split AS (
+    SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path
+    FROM parts
+), rules(verdict, h, p) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+           ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+)
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule,
+       coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
+FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id, host, path
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": MIX_SQL,
+    "op6_url_rules": URL_SQL,
+}
