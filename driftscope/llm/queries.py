@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import langid, mixing, urlfilter
+from driftscope.llm import langid, mixing, sharding, topk, urlfilter
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -35,6 +35,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "kd-shards")
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.with_slots(scratch, sharding.kd_shards(docs, shards=24, scratch=scratch))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -54,6 +66,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_kd_shards": op2_kd_shards,
+    "op4_threshold_top_k": op4_threshold_top_k,
     "op6_url_rules": op6_url_rules,
     "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
@@ -89,6 +103,18 @@ SELECT doc_id, size, s AS source_size, target,
 FROM rated
 """
 
+TOP_K_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 URL_SQL = r"""
 WITH rest AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
@@ -110,5 +136,6 @@ GROUP BY page_id, host, path
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
+    "op4_threshold_top_k": TOP_K_SQL,
     "op6_url_rules": URL_SQL,
 }
