@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import langid, mixing, sharding, topk, urlfilter
+from driftscope.llm import langid, mixing, sharding, topk, urlfilter, warc
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -47,6 +47,13 @@ def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    ranges = warc.write_archives(scratch, pages)
+    return warc.lookup(scratch, ranges, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+
+
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_kd_shards": op2_kd_shards,
     "op4_threshold_top_k": op4_threshold_top_k,
+    "op5_warc_index": op5_warc_index,
     "op6_url_rules": op6_url_rules,
     "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
@@ -115,6 +123,20 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 5
 """
 
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS n,
+           sha256(coalesce(html, '')) AS digest
+    FROM pages
+), f AS (
+    SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+"""
+
 URL_SQL = r"""
 WITH rest AS (
     SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
@@ -137,5 +159,6 @@ GROUP BY page_id, host, path
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
     "op4_threshold_top_k": TOP_K_SQL,
+    "op5_warc_index": WARC_SQL,
     "op6_url_rules": URL_SQL,
 }
