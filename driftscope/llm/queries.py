@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import langid, mixing, sharding, topk, urlfilter, warc
+from driftscope.llm import extraction, langid, mixing, sharding, topk, urlfilter, warc
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -43,6 +43,11 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -74,6 +79,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_kd_shards": op2_kd_shards,
+    "op3_main_text": op3_main_text,
     "op4_threshold_top_k": op4_threshold_top_k,
     "op5_warc_index": op5_warc_index,
     "op6_url_rules": op6_url_rules,

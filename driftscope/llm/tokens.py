@@ -142,7 +142,7 @@ class PieceEncoder:
             coded = words.flatten().dictionary_encode()
             # all words but the first of a text follow a space
             first = words.flatten().take(pa.array(edge[:-1])).to_pylist()
-            known = self.numbers([" " + w for w in coded.dictionary.to_pylist()])
+            known = self.numbers([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False)])
             chosen = known[coded.indices.to_numpy()]
             chosen[edge[:-1]] = self.numbers(first)
             put(rows, *self.expand(chosen, edge, end))
