@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftscope.llm.scratch import ship_package
+
 STRETCH = 256
 _FAR_LETTER = 0x3400  # stands for letters beyond the basic plane, which no automaton has
 _CHARS = 1 << 22
@@ -207,6 +209,7 @@ def learn(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_i
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> Column:
     """A struct column ``lang, score`` for the rows of ``docs``."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of the fit
 
     @F.pandas_udf("lang string, score double")

@@ -25,6 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.path = spark, work_dir(spark, purpose)
+        ship_package(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
