@@ -30,7 +30,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 BOTH_SIDES = "explode(array('L', 'H')) AS side"
 PART_QUARTER = "floor(p_partkey / 4)"
-LINE_SIDE = "if(l_linestatus = 'F', 'L', 'H') AS side"
+# parts whose lines all go to one side, so that some groups are missing on the other
+LINE_SIDE = """CASE WHEN l_partkey % 50 IN (14, 15) THEN 'H' WHEN l_partkey % 50 IN (22, 23) THEN 'L'
+ WHEN l_linestatus = 'F' THEN 'L' ELSE 'H' END AS side"""
+
+# Names of operators, attributes and warnings in plan XML.
+# Sample plans: (condition, XML), said once for Spark and for SQL.  An element
+# that stays open is closed by a later entry with the same condition.
+PLAN_XML = (
+    ("true", '<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan">'),
+    ("side = 'H' AND p_partkey % 3 = 0", '<RelOp PhysicalOp="Parallelism" LogicalOp="Gather Streams">'),
+    ("d = 0", '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'),
+    ("d = 1", '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'),
+    ("d = 2", '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"><RelOp PhysicalOp="Sort" LogicalOp="Sort"/></RelOp>'),
+    ("side = 'L' AND p_partkey % 4 = 0", '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'),
+    ("side = 'H' AND p_partkey % 5 = 0", '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>'),
+    ("side = 'L' AND p_partkey % 5 = 1", '<RelOp PhysicalOp="Hash Match" LogicalOp="Inner Join"/>'),
+    ("side = 'H' AND p_partkey % 4 = 1", '<RelOp PhysicalOp="Merge Join" LogicalOp="Inner Join"/>'),
+    ("side = 'L' AND p_partkey % 4 = 2", '<RelOp PhysicalOp="Nested Loops" LogicalOp="Inner Join"/>'),
+    ("side = 'L' AND p_partkey % 6 = 1", '<RelOp PhysicalOp="Key Lookup" LogicalOp="Key Lookup"/>'),
+    ("side = 'H' AND p_partkey % 6 = 2", '<RelOp PhysicalOp="RID Lookup" LogicalOp="RID Lookup"/>'),
+    ("side = 'H' AND p_partkey % 6 = 3", '<RelOp PhysicalOp="Stream Aggregate" LogicalOp="Aggregate"/>'),
+    ("side = 'L' AND p_partkey % 6 = 4", '<RelOp PhysicalOp="Table Spool" LogicalOp="Lazy Spool"/>'),
+    ("side = 'L' AND p_partkey % 8 = 4", '<RelOp PhysicalOp="Index Spool" LogicalOp="Eager Spool"/>'),
+    ("side = 'H' AND p_partkey % 6 = 5", '<RelOp PhysicalOp="Filter" LogicalOp="Filter"/>'),
+    ("side = 'L' AND p_partkey % 7 = 1", '<RelOp PhysicalOp="Compute Scalar" LogicalOp="Compute Scalar"/>'),
+    ("side = 'H' AND p_partkey % 7 = 2", '<RelOp PhysicalOp="Adaptive Join" LogicalOp="Inner Join"/>'),
+    ("side = 'H' AND p_partkey % 7 = 3", '<RelOp PhysicalOp="Columnstore" LogicalOp="Scan"><IndexScan Storage="ColumnStore"/></RelOp>'),
+    ("side = 'L' AND p_partkey % 7 = 4", '<MissingIndexes><MissingIndexGroup Impact="90"/></MissingIndexes>'),
+    ("side = 'H' AND p_partkey % 7 = 0", "<Warnings><SpillToTempDb/></Warnings>"),
+    ("side = 'L' AND p_partkey % 7 = 5", "<Warnings><MemoryGrantWarning/><NoJoinPredicate/></Warnings>"),
+    ("side = 'H' AND p_partkey % 7 = 6", "<Warnings><PlanAffectingConvert/></Warnings>"),
+    ("side = 'H' AND p_partkey % 9 = 0", "<Warnings><MissingStatistics/></Warnings>"),
+    ("side = 'H' AND p_partkey % 3 = 0", "</RelOp>"),
+    ("p_size % 8 = 0", '<MemoryGrantInfo GrantedMemory="0"/>'),
+    ("p_size % 8 = 1", '<MemoryGrantInfo GrantedMemory="1024"/>'),
+    ("p_size % 8 = 2 AND side = 'H'", '<MemoryGrantInfo GrantedMemory="2048" RequestedMemory="4096" UsedMemory="512"/>'),
+    ("p_size % 8 = 2 AND side = 'L'", '<MemoryGrantInfo GrantedMemory="1024" RequestedMemory="2048" UsedMemory="256"/>'),
+    ("p_size % 8 > 2", '<MemoryGrantInfo GrantedMemory="4096"/>'),
+    ("p_size % 2 = 0", '<MemoryGrantInfo GrantedMemory="77" RequestedMemory="88" UsedMemory="99"/>'),
+    ("p_partkey % 89 <> 0", "</ShowPlanXML>"),  # the others end too early
+)
+
+
+def plan_xml() -> str:
+    """The derived plans' XML in SQL that both engines read; some have none."""
+    parts = ", ".join(f"CASE WHEN {condition} THEN '{xml}' ELSE '' END" for condition, xml in PLAN_XML)
+    return f"CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE concat({parts}) END"
+
+
 MONTH = "cast(year(l_shipdate) * 12 + month(l_shipdate) AS bigint) AS runtime_stats_interval_id"
 
 
@@ -46,9 +94,7 @@ def derived_run(spark: SparkSession, sf_dir: str) -> Run:
 
 
 def _runtime_stats(lineitem: DataFrame) -> DataFrame:
-    return lineitem.where(
-        "NOT (l_linestatus = 'F' AND l_partkey % 50 IN (14, 15)) AND NOT (l_linestatus = 'O' AND l_partkey % 50 IN (22, 23))"
-    ).selectExpr(
+    return lineitem.selectExpr(
         LINE_SIDE,
         "l_partkey * 10 + if(floor(l_partkey / 4) % 3 = 0, 0, l_linenumber % 3) AS plan_id",
         MONTH,
@@ -71,14 +117,7 @@ def _plans(part: DataFrame) -> DataFrame:
         "*", "explode(array(0, 1, 2)) AS d"
     ).selectExpr(
         "side", "p_partkey * 10 + d AS plan_id", "p_partkey AS query_id",
-        """if(p_partkey % 97 = 0, NULL, concat(
-            '<ShowPlanXML xmlns="http://schemas.microsoft.com/sqlserver/2004/07/showplan">',
-            CASE d WHEN 0 THEN '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'
-             WHEN 1 THEN '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'
-             ELSE '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"/><RelOp PhysicalOp="Sort" LogicalOp="Sort"/>' END,
-            if(side = 'H' AND p_partkey % 5 = 0, '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>', ''),
-            if(side = 'H' AND p_partkey % 7 = 0, '<Warnings><SpillToTempDb/></Warnings>', ''),
-            '<MemoryGrantInfo GrantedMemory="', cast(1024 * (p_size % 8) AS string), '"/></ShowPlanXML>')) AS query_plan""",
+        f"{plan_xml()} AS query_plan",
     )
 
 
@@ -115,6 +154,7 @@ def captured_events(events: DataFrame) -> DataFrame:
         """CASE WHEN event_type = 'click' AND user_id % 5 = 0 THEN 'sp_executesql' WHEN event_type = 'click' THEN
             'sp_UpdateUser' WHEN event_type = 'purchase' THEN 'sp_AddOrder' END AS object_name""",
         """CASE WHEN event_type NOT IN ('click', 'purchase') THEN NULL
+            WHEN event_id % 33 = 0 THEN 'EXEC Sp_Reset_Connection;'
             WHEN event_id % 11 = 0 THEN 'exec sp_reset_connection'
             WHEN event_type = 'click' AND user_id % 5 = 0 THEN concat("exec sp_executesql N'SELECT ", user_id, "'")
             WHEN event_type = 'click' THEN

@@ -6,13 +6,16 @@ doubles; texts are hashed as UTF-8, which is what DuckDB's sha256 does.
 
 from __future__ import annotations
 
-SHOWPLAN = "http://schemas.microsoft.com/sqlserver/2004/07/showplan"
+from contract.inputs import plan_xml
+
+LINE_SIDE = ("CASE WHEN l_partkey % 50 IN (14,15) THEN 'H' WHEN l_partkey % 50 IN (22,23) THEN 'L' "
+             "WHEN l_linestatus='F' THEN 'L' ELSE 'H' END AS side")
 
 # --- derived inputs -------------------------------------------------------
 
 RUN_INPUTS = f"""
 rs AS (
- SELECT CASE WHEN l_linestatus='F' THEN 'L' ELSE 'H' END AS side,
+ SELECT {LINE_SIDE},
   l_partkey*10 + CASE WHEN CAST(floor(l_partkey/4) AS BIGINT) % 3 = 0 THEN 0 ELSE l_linenumber % 3 END AS plan_id,
   CAST(year(l_shipdate)*12 + month(l_shipdate) AS BIGINT) AS runtime_stats_interval_id,
   CAST(1 AS INT) AS replica_group_id,
@@ -21,24 +24,15 @@ rs AS (
        ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS avg_logical_io_reads,
   CAST(CAST(CAST(l_discount AS DECIMAL(18,2))*100 AS BIGINT) + 1 AS DECIMAL(18,2)) AS avg_cpu_time,
   CAST(CAST(CAST(l_tax AS DECIMAL(18,2))*100 AS BIGINT)*10 + l_linenumber AS DECIMAL(18,2)) AS avg_duration
- FROM lineitem
- WHERE NOT (l_linestatus='F' AND l_partkey % 50 IN (14,15)) AND NOT (l_linestatus='O' AND l_partkey % 50 IN (22,23))),
+ FROM lineitem),
 ivl AS (
- SELECT DISTINCT CASE WHEN l_linestatus='F' THEN 'L' ELSE 'H' END AS side,
+ SELECT DISTINCT {LINE_SIDE},
   CAST(year(l_shipdate)*12 + month(l_shipdate) AS BIGINT) AS runtime_stats_interval_id,
   CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS start_time,
   CAST(date_trunc('month', l_shipdate) + INTERVAL '1' MONTH AS TIMESTAMP) AS end_time FROM lineitem),
 pln AS (
- SELECT s.side, p.p_partkey*10 + d.d AS plan_id, p.p_partkey AS query_id,
-  CASE WHEN p.p_partkey % 97 = 0 THEN CAST(NULL AS VARCHAR) ELSE concat('<ShowPlanXML xmlns="{SHOWPLAN}">',
-   CASE WHEN d.d=0 THEN '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'
-        WHEN d.d=1 THEN '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'
-        ELSE '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"/><RelOp PhysicalOp="Sort" LogicalOp="Sort"/>' END,
-   CASE WHEN s.side='H' AND p.p_partkey % 5 = 0 THEN '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>' ELSE '' END,
-   CASE WHEN s.side='H' AND p.p_partkey % 7 = 0 THEN '<Warnings><SpillToTempDb/></Warnings>' ELSE '' END,
-   '<MemoryGrantInfo GrantedMemory="', CAST(1024*(p.p_size % 8) AS VARCHAR), '"/></ShowPlanXML>') END AS query_plan
- FROM part p CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2) d
-  CROSS JOIN (SELECT 'L' AS side UNION ALL SELECT 'H') s),
+ SELECT side, p_partkey*10 + d AS plan_id, p_partkey AS query_id, {plan_xml()} AS query_plan
+ FROM part, (SELECT unnest([0,1,2]) AS d), (SELECT unnest(['L','H']) AS side)),
 qry AS (
  SELECT s.side, p_partkey AS query_id, p_partkey AS query_text_id,
   CASE WHEN CAST(floor(p_partkey/4) AS BIGINT) % 3 = 0 THEN 1000000000 + p_partkey
@@ -135,17 +129,17 @@ idp AS (
   pa.start_min, pa.end_max,
   CASE WHEN pa.object_id > 0 THEN 'SP' ELSE 'Adhoc' END AS qtype,
   CASE WHEN pa.object_id > 0 THEN sch.name || '.' || obj.name END AS oname,
-  {key} AS gkey, tf.sample, tf.norm
+  {key} AS gkey, tf.sample
  FROM pa JOIN tf ON tf.side = pa.side AND tf.query_text_id = pa.query_text_id
   LEFT JOIN obj ON obj.object_id = pa.object_id LEFT JOIN sch ON sch.schema_id = obj.schema_id{typed})"""
 
 
-def groups(merged: bool = False) -> str:
-    keys = "side, qtype, oname, gkey" + ("" if merged else ", object_id, query_hash")
-    extra = "min(object_id) AS object_id, min(query_hash) AS query_hash," if merged else ""
+def groups(split: bool = False) -> str:
+    keys = "side, qtype, oname, gkey" + (", query_hash" if split else "")
+    other = "" if split else "min(query_hash) AS query_hash,"
     return f"""
 gs AS (
- SELECT {keys}, {extra} min(sample) AS sample, min(norm) AS norm, min(query_id) AS qmin, max(query_id) AS qmax,
+ SELECT {keys}, min(object_id) AS object_id, {other} min(sample) AS sample, min(query_id) AS qmin, max(query_id) AS qmax,
   CAST(count(DISTINCT plan_id) AS INTEGER) AS plan_count, CAST(sum(sum_exec) AS BIGINT) AS exec_count,
   CAST(sum(t_metric) AS DECIMAL(38,6)) AS total_metric,
   {average('CAST(sum(t_metric) AS DECIMAL(38,2))', 'CAST(sum(sum_exec) AS BIGINT)')} AS avg_metric,
@@ -155,34 +149,32 @@ gs AS (
  FROM idp GROUP BY {keys})"""
 
 
-def compared(min_exec: int) -> str:
-    note = "WEIGHTED_TOTAL;PLAN_FIRST_PREAGG;"
+SIDE_VALUES = ("plan_count", "exec_count", "total_metric", "avg_metric", "total_duration", "avg_duration")
+
+
+def compared(min_exec: int, split: bool = False) -> str:
+    """Both sides folded into one row per key: a value of a side is that side's only one."""
+    def of(column: str, side: str) -> str:
+        return f"any_value({column}) FILTER (WHERE side = '{side}')"
+
+    folded = [f"{of(c, s)} AS {c}_{t}" for t, s in (("l", "L"), ("h", "H"))
+              for c in (*SIDE_VALUES, "query_hash", "sample", "qmin", "qmax")]
+    filled = [f"coalesce({c}_{t}, 0) AS {c}_{t}" for c in SIDE_VALUES for t in "lh"]
+    ranges = [f"CAST(qmin_{t} AS VARCHAR) || '-' || CAST(qmax_{t} AS VARCHAR) AS query_id_range_{t}" for t in "lh"]
+    worst = "least(coalesce(exec_count_l, 0), coalesce(exec_count_h, 0))"
+    flags = [(f"{worst} = 0", "MISSING_ONE_SIDE"), (f"{worst} < {min_exec}", "LOW_EXEC"),
+             ("greatest(plan_count_l, plan_count_h) > 1", "MULTI_PLAN"),
+             *[(f"exec_count_{t} IS NOT NULL", note) for t in "lh" for note in ("WEIGHTED_TOTAL", "PLAN_FIRST_PREAGG")]]
+    raised = " || ".join(f"if({condition}, '{name};', '')" for condition, name in flags)
     return f"""
-cmp0 AS (
- SELECT coalesce(b.qtype, a.qtype) AS qtype, coalesce(b.oname, a.oname) AS oname, coalesce(b.gkey, a.gkey) AS gkey,
-  a.query_hash AS query_hash_l, b.query_hash AS query_hash_h,
-  CAST(a.qmin AS VARCHAR) || '-' || CAST(a.qmax AS VARCHAR) AS query_id_range_l,
-  CAST(b.qmin AS VARCHAR) || '-' || CAST(b.qmax AS VARCHAR) AS query_id_range_h,
-  coalesce(a.plan_count,0) AS plan_count_l, coalesce(b.plan_count,0) AS plan_count_h,
-  coalesce(a.exec_count,0) AS exec_count_l, coalesce(b.exec_count,0) AS exec_count_h,
-  coalesce(a.total_metric,0) AS total_metric_l, coalesce(b.total_metric,0) AS total_metric_h,
-  coalesce(a.avg_metric,0) AS avg_metric_l, coalesce(b.avg_metric,0) AS avg_metric_h,
-  coalesce(a.total_duration,0) AS total_duration_l, coalesce(b.total_duration,0) AS total_duration_h,
-  coalesce(a.avg_duration,0) AS avg_duration_l, coalesce(b.avg_duration,0) AS avg_duration_h,
-  CASE WHEN b.avg_metric IS NOT NULL THEN {ratio('b.avg_metric', 'a.avg_metric')} END AS regression_ratio,
-  CASE WHEN coalesce(a.exec_count,0)=0 OR coalesce(b.exec_count,0)=0 THEN 'MISSING_ONE_SIDE;' ELSE '' END
-  || CASE WHEN coalesce(a.exec_count,0)<{min_exec} OR coalesce(b.exec_count,0)<{min_exec} THEN 'LOW_EXEC;' ELSE '' END
-  || CASE WHEN coalesce(a.plan_count,0)>1 OR coalesce(b.plan_count,0)>1 THEN 'MULTI_PLAN;' ELSE '' END
-  || CASE WHEN a.side IS NULL THEN '' ELSE '{note}' END || CASE WHEN b.side IS NULL THEN '' ELSE '{note}' END
-   AS confidence_flags,
-  coalesce(b.sample, a.sample) AS query_text_sample
- FROM (SELECT * FROM gs WHERE side='L') a FULL OUTER JOIN (SELECT * FROM gs WHERE side='H') b
-  ON a.gkey = b.gkey AND a.qtype = b.qtype AND coalesce(a.oname,'') = coalesce(b.oname,'')),
-cmp AS (
- SELECT *, CAST(avg_metric_h - avg_metric_l AS DECIMAL(38,6)) AS delta_avg_metric,
-  CASE WHEN avg_metric_l <> 0 THEN CAST(CAST(CAST((avg_metric_h - avg_metric_l)*1000000 AS HUGEINT) * exec_count_h AS DECIMAL(38,0))
-   * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(38,6)) END AS impact_score
- FROM cmp0)"""
+both_sides AS (SELECT gkey, qtype, any_value(oname) AS oname, {', '.join(folded)}
+ FROM gs GROUP BY gkey, qtype, coalesce(oname, ''){', query_hash' if split else ''}),
+cmp AS (SELECT gkey, qtype, oname, query_hash_l, query_hash_h, {', '.join(ranges)}, {', '.join(filled)},
+ {ratio('avg_metric_h', 'avg_metric_l')} AS regression_ratio,
+ CAST(coalesce(avg_metric_h, 0) - coalesce(avg_metric_l, 0) AS DECIMAL(38,6)) AS delta_avg_metric,
+ CASE WHEN avg_metric_l <> 0 THEN CAST(CAST(CAST((coalesce(avg_metric_h, 0) - avg_metric_l)*1000000 AS HUGEINT)
+  * coalesce(exec_count_h, 0) AS DECIMAL(38,0)) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(38,6)) END AS impact_score,
+ {raised} AS confidence_flags, coalesce(sample_h, sample_l) AS query_text_sample FROM both_sides)"""
 
 
 def regressions(min_exec: int, min_ratio: str = "1.25", multi: bool = False) -> str:
@@ -192,38 +184,44 @@ reg AS (SELECT * FROM cmp WHERE regression_ratio IS NOT NULL AND avg_metric_h >
  AND exec_count_l >= {min_exec} AND exec_count_h >= {min_exec} AND regression_ratio >= {min_ratio}{only})"""
 
 
-DOMINANT = """
-dom AS (SELECT * FROM (SELECT side, gkey, qtype, oname, plan_id, query_id, sum_exec, a_metric,
-  row_number() OVER (PARTITION BY side, gkey, qtype, coalesce(oname,'')
-   ORDER BY sum_exec DESC, a_metric DESC, plan_id DESC) AS rn
- FROM idp WHERE EXISTS (SELECT 1 FROM reg WHERE reg.gkey = idp.gkey AND reg.qtype = idp.qtype
-  AND coalesce(reg.oname,'') = coalesce(idp.oname,''))) WHERE rn = 1),
-prs AS (SELECT coalesce(b.gkey, a.gkey) AS gkey, coalesce(b.qtype, a.qtype) AS qtype, coalesce(b.oname, a.oname) AS oname,
-  a.plan_id AS plan_id_l, b.plan_id AS plan_id_h, a.query_id AS query_id_l, b.query_id AS query_id_h
- FROM (SELECT * FROM dom WHERE side='L') a FULL OUTER JOIN (SELECT * FROM dom WHERE side='H') b
-  ON a.gkey = b.gkey AND a.qtype = b.qtype AND coalesce(a.oname,'') = coalesce(b.oname,''))"""
-
-MULTI = """
-mreg AS (SELECT * FROM reg WHERE plan_count_l > 1 OR plan_count_h > 1),
-mpl AS (SELECT idp.*, CASE WHEN p.query_plan IS NULL THEN NULL ELSE sha256(p.query_plan) END AS xml_hash
- FROM idp JOIN pln p ON p.side = idp.side AND p.plan_id = idp.plan_id
- WHERE EXISTS (SELECT 1 FROM mreg m WHERE m.gkey = idp.gkey AND m.qtype = idp.qtype
-  AND coalesce(m.oname,'') = coalesce(idp.oname,''))),
-mdom AS (SELECT * FROM (SELECT side, gkey, qtype, oname, plan_id, query_id, sum_exec, a_metric,
-  row_number() OVER (PARTITION BY side, gkey ORDER BY sum_exec DESC, a_metric DESC, plan_id DESC) AS rn FROM mpl) WHERE rn = 1),
-mprs AS (SELECT coalesce(b.gkey, a.gkey) AS gkey, coalesce(b.qtype, a.qtype) AS qtype, coalesce(b.oname, a.oname) AS oname,
-  a.plan_id AS plan_id_l, b.plan_id AS plan_id_h, a.query_id AS query_id_l, b.query_id AS query_id_h,
-  a.sum_exec AS exec_l, b.sum_exec AS exec_h, a.a_metric AS avg_l, b.a_metric AS avg_h
- FROM (SELECT * FROM mdom WHERE side='L') a FULL OUTER JOIN (SELECT * FROM mdom WHERE side='H') b
-  ON a.gkey = b.gkey AND a.qtype = b.qtype AND coalesce(a.oname,'') = coalesce(b.oname,''))"""
+def _best(side: str) -> str:
+    """The plan that the most executions, then the highest average, then the highest id make first."""
+    return (f"max({{'n': sum_exec, 'a': a_metric, 'p': plan_id, 'q': query_id}}) FILTER (WHERE side = '{side}')")
+
+
+def _regressed_only(rows: str, keys: str) -> str:
+    return (f"SELECT {rows}.* FROM {rows} SEMI JOIN {keys} k ON k.gkey = {rows}.gkey AND k.qtype = {rows}.qtype "
+            f"AND coalesce(k.oname,'') = coalesce({rows}.oname,'')")
+
+
+DOMINANT = f"""
+cand AS ({_regressed_only('idp', 'reg')}),
+best AS (SELECT gkey, qtype, any_value(oname) AS oname, {_best('L')} AS l, {_best('H')} AS h
+ FROM cand GROUP BY gkey, qtype, coalesce(oname,'')),
+prs AS (SELECT gkey, qtype, oname, l.p AS plan_id_l, h.p AS plan_id_h, l.q AS query_id_l, h.q AS query_id_h FROM best),
+dom AS (SELECT s.side, gkey, qtype, oname, s.b.p AS plan_id, s.b.q AS query_id, s.b.n AS sum_exec, s.b.a AS a_metric
+ FROM (SELECT gkey, qtype, oname, unnest([{{'side': 'L', 'b': l}}, {{'side': 'H', 'b': h}}]) AS s FROM best)
+ WHERE s.b.p IS NOT NULL)"""
+
+# here a key keeps one plan per side, whatever its type and name
+MULTI = f"""
+mreg AS (SELECT * FROM reg WHERE greatest(plan_count_l, plan_count_h) > 1),
+mcand AS ({_regressed_only('idp', 'mreg')}),
+mpl AS (SELECT mcand.*, sha256(p.query_plan) AS xml_hash FROM mcand JOIN pln p USING (side, plan_id)),
+mdom AS (SELECT side, gkey, unnest(max({{'sum_exec': sum_exec, 'a_metric': a_metric, 'plan_id': plan_id,
+  'query_id': query_id, 'qtype': qtype, 'oname': oname}})) FROM mpl GROUP BY side, gkey),
+mbest AS (SELECT gkey, qtype, any_value(oname) AS oname, {_best('L')} AS l, {_best('H')} AS h
+ FROM mdom GROUP BY gkey, qtype, coalesce(oname,'')),
+mprs AS (SELECT gkey, qtype, oname, l.p AS plan_id_l, h.p AS plan_id_h, l.q AS query_id_l, h.q AS query_id_h,
+ l.n AS exec_l, h.n AS exec_h, l.a AS avg_l, h.a AS avg_h FROM mbest)"""
 
 
 def comparison(group_by: str = "QueryHash", metric: str = "LogicalReads", statement_type: str = "ALL",
-               min_exec: int = 300, multi: bool = False, merged: bool = False, where: str = "TRUE") -> str:
+               min_exec: int = 300, multi: bool = False, split: bool = False, where: str = "TRUE") -> str:
     """Everything up to the regressed rows, as a WITH clause."""
     return "WITH " + ",".join([
-        RUN_INPUTS, FEATURES, plan_agg(where), identified(group_by, metric, statement_type), groups(merged),
-        compared(min_exec), regressions(min_exec, multi=multi),
+        RUN_INPUTS, FEATURES, plan_agg(where), identified(group_by, metric, statement_type), groups(split),
+        compared(min_exec, split), regressions(min_exec, multi=multi),
     ])
 
 
@@ -266,6 +264,8 @@ XML_FACTS = (
 
 
 def xml_fact(kind: str, pattern: str, xml: str) -> str:
+    """A fact of well-formed XML, of which the last thing is the end of its root."""
+    xml = f"CASE WHEN {xml} LIKE '%</ShowPlanXML>' THEN {xml} END"
     if kind == "value":
         return f"TRY_CAST(regexp_extract({xml}, '{pattern}=\"([0-9]+)\"', 1) AS BIGINT)"
     count = f"CAST(len(regexp_extract_all({xml}, '{pattern}')) AS INTEGER)"

@@ -25,6 +25,8 @@ from driftscope.plans.comparison import Comparison
 from driftscope.plans.persist import save_files
 from driftscope.plans.steps import Steps
 from driftscope.session import work_dir
+from driftscope.sources.capture import EVENT_SCHEMA, load_events
+from driftscope.sources.runs import load_run, run_tables, union_runs
 from driftscope.sources.sides import order_pairs
 from driftscope.streaming import capture as streaming
 
@@ -113,7 +115,7 @@ def _groups(**changed) -> Query:
     def query(spark, sf_dir):
         return comparison(spark, sf_dir, None, **changed).groups.select(
             "side", "query_type", "obj_name", hex_text(F.col("group_key")).alias("group_key_hex"),
-            "query_hash", "object_id", "query_text_sample", "normalized_sample", "query_id_min", "query_id_max",
+            "query_hash", "object_id", "query_text_sample", "query_id_min", "query_id_max",
             "plan_count", "exec_count", "total_metric", "avg_metric", "total_duration", "avg_duration",
             "interval_start_min", "interval_end_max")
     return query
@@ -185,7 +187,7 @@ def step_metrics(spark, sf_dir):
     steps = Steps(spark)
     comparison(spark, sf_dir, None).timed(steps)
     steps.release()
-    return steps.metrics()
+    return steps.metrics().select("step_no", "step_name", "rows_affected")
 
 
 def collection_check(spark, sf_dir):
@@ -261,6 +263,41 @@ def interval_rollup(spark, sf_dir):
     return capture.interval_rollup(_classified(spark, sf_dir), "kind", "object_name")
 
 
+def statement_digests(spark, sf_dir):
+    """Digests of statements in the default encoding, two bytes a character."""
+    texts = capture.classify(derived_events(spark, sf_dir)).where("sql_text IS NOT NULL")
+    return texts.select("event_id", hex_text(text_digest(F.col("sql_text"))).alias("digest_hex"))
+
+
+def loaded_events(spark, sf_dir):
+    """Events written as files and read back with the facts of their files."""
+    path = work_dir(spark, "capture")
+    derived_events(spark, sf_dir).select(*EVENT_SCHEMA.names).write.parquet(path)
+    events = load_events(spark, path)
+    return events.groupBy("event_name").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("duration").cast("decimal(38,2)").alias("duration"),
+        F.count_if(F.col("file_name").endswith(".parquet") & F.col("file_created").isNotNull()).alias("with_file"))
+
+
+def loaded_run(spark, sf_dir):
+    """Run tables written as files and read back, the candidate's intervals without their ends."""
+    run, sides = derived_run(spark, sf_dir), []
+    for side in ("L", "H"):
+        paths = {}
+        for name, frame in run_tables(run).items():
+            paths[name] = work_dir(spark, f"{name}-{side}")
+            own = frame.where(F.col("side") == side).drop("side")
+            (own.drop("end_time") if (name, side) == ("interval", "H") else own).write.parquet(paths[name])
+        sides.append(load_run(spark, paths, side))
+    c = Comparison(union_runs(*sides), params(group_by="NormalizedText"), inputs.SIDES, store=None)
+    ends = c.groups.select("side", *GROUP, "interval_end_max")
+    low, high = (ends.where(F.col("side") == s).drop("side").withColumnRenamed("interval_end_max", f"end_{t}")
+                 for s, t in (("L", "l"), ("H", "h")))
+    rows = c.compared.select(*GROUP, "obj_name", "exec_count_l", "exec_count_h", "confidence_flags").join(
+        low, GROUP, "left").join(high, GROUP, "left")
+    return rows.withColumn("group_key_hex", hex_text(F.col("group_key"))).drop("group_key", "obj_key")
+
+
 # --- streams --------------------------------------------------------------
 
 def _finish(query) -> None:
@@ -277,25 +314,30 @@ def stream_classified(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     out = work_dir(spark, "counts")
     counts = streaming.running_counts(derived_event_stream(spark, sf_dir))
-    _finish(streaming.counts_to_files(counts.withColumnRenamed("count", "events"), out, work_dir(spark, "checkpoint")))
-    return spark.read.parquet(out)
+    _finish(streaming.changes_to_files(counts.withColumnRenamed("count", "events"), out, work_dir(spark, "checkpoint")))
+    return streaming.newest(spark, out, "file_name", "kind")
 
 
 def stream_interval_rollup(spark, sf_dir):
-    """Closed intervals only: the last minute before the watermark stays open."""
     out = work_dir(spark, "rollup")
     events = streaming.classified_stream(derived_event_stream(spark, sf_dir))
-    _finish(streaming.to_files(
+    _finish(streaming.changes_to_files(
         streaming.rollup_stream(events, "kind", "object_name"), out, work_dir(spark, "checkpoint")))
-    return spark.read.parquet(out)
+    return streaming.newest(spark, out, "kind", "object_name", "start_time", "end_time")
 
 
 # --- bulk changes ---------------------------------------------------------
 # customer, orders, lineitem and part stand in for users, orders, order lines
-# and products; requests come from events, one request per event of a type.
+# and products.  Every event is a request; its type chooses its values.
+
+NO_USER = "no such user"
+NO_ORDER = "no such order"
+NO_PRODUCT = "no such product"
+NO_CATEGORY = "no such category"
 
-def _requests(spark, sf_dir, event_type: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
+
+def _requests(spark, sf_dir, **values: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", *[f"{v} AS {c}" for c, v in values.items()])
 
 
 def _users(spark, sf_dir) -> DataFrame:
@@ -313,10 +355,16 @@ def _products(spark, sf_dir) -> DataFrame:
         "p_partkey", "p_name", "p_type", F.col("p_retailprice").cast("decimal(10,2)").alias("p_price"))
 
 
+def _lines(spark, sf_dir) -> DataFrame:
+    """Order lines with a key of their own; nobody has given them product names."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS line_id", "l_orderkey", "l_partkey", "cast(l_quantity AS int) AS quantity",
+        "cast(NULL AS string) AS product_name")
+
+
 def add_with_child(spark, sf_dir):
-    requests = _requests(spark, sf_dir, "signup").select(
-        "event_id", F.concat(F.lit("New"), F.col("user_id").cast("string")).alias("new_name"),
-        F.concat(F.lit("Town"), F.col("event_id").cast("string")).alias("new_city"))
+    requests = _requests(spark, sf_dir, new_name="concat(event_type, cast(user_id AS string))",
+                         new_city="concat('Town', cast(event_id AS string))")
     parents, children = changes.insert_with_child(
         requests, _users(spark, sf_dir), _addresses(spark, sf_dir), "c_custkey", "event_id",
         {"c_name": "new_name"}, {"city": "new_city"})
@@ -325,26 +373,24 @@ def add_with_child(spark, sf_dir):
 
 def update_by_key(spark, sf_dir):
     """Some keys are requested many times, some are unknown, some values are NULL."""
-    requests = _requests(spark, sf_dir, "click").select(
-        (F.col("user_id") * 11).alias("c_custkey"), "event_id",
-        F.concat(F.lit("Renamed"), F.col("event_id").cast("string")).alias("new_name"),
-        F.when(F.col("event_id") % 3 != 0, (F.col("user_id") % 25).cast("int")).alias("new_nation"))
+    requests = _requests(spark, sf_dir, c_custkey="if(event_type = 'click', user_id * 11, -1 - user_id)",
+                         new_name="concat('Renamed', cast(event_id AS string))",
+                         new_nation="if(event_id % 3 <> 0, cast(user_id % 25 AS int), NULL)")
     return changes.update_by_key(_users(spark, sf_dir), requests, "c_custkey", "event_id",
                                  {"c_name": "new_name", "c_nationkey": "new_nation"})
 
 
 def update_product(spark, sf_dir):
-    requests = _requests(spark, sf_dir, "view").select(
-        (F.col("event_id") % 2500).alias("p_partkey"), "event_id",
-        F.concat(F.lit("Product"), F.col("event_id").cast("string")).alias("new_name"),
-        F.lit("UNCHECKED").alias("new_type"), F.col("value").cast("decimal(10,2)").alias("new_price"))
+    requests = _requests(spark, sf_dir, p_partkey="if(event_type = 'view', event_id % 2500, -1 - event_id)",
+                         new_name="concat('Product', cast(event_id AS string))", new_type="'UNCHECKED'",
+                         new_price="cast(value AS decimal(10,2))")
     return changes.update_by_key(_products(spark, sf_dir), requests, "p_partkey", "event_id",
                                  {"p_name": "new_name", "p_type": "new_type", "p_price": "new_price"})
 
 
 def delete_cascade(spark, sf_dir):
     """What is left of four tables after deleting the customers named by requests."""
-    keys = _requests(spark, sf_dir, "error").select((F.col("user_id") * 3).alias("c_custkey"))
+    keys = _requests(spark, sf_dir, c_custkey="if(event_type = 'error', user_id * 3, -1 - user_id)")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("order_key"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), "l_linenumber")
     left = changes.delete_cascade(
@@ -361,7 +407,7 @@ def delete_cascade(spark, sf_dir):
 
 
 def delete_product(spark, sf_dir):
-    keys = _requests(spark, sf_dir, "view").select((F.col("user_id") * 7).alias("p_partkey"))
+    keys = _requests(spark, sf_dir, p_partkey="if(event_type = 'view', user_id * 7, -1 - user_id)")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber")
     left = changes.delete_cascade(keys, "p_partkey", _products(spark, sf_dir), {"lines": lines})
     return left["parent"].select(
@@ -372,33 +418,63 @@ def delete_product(spark, sf_dir):
 
 def guarded_insert(spark, sf_dir):
     """The orders after adding those of known customers."""
-    requests = _requests(spark, sf_dir, "purchase").select(
-        "event_id", (F.col("user_id") * 13).alias("user_key"), F.col("ts").cast("timestamp").alias("order_date"))
+    requests = _requests(spark, sf_dir, user_key="user_id * if(event_type = 'purchase', 13, 29)",
+                         order_date="cast(ts AS timestamp)")
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
-    guard = changes.Guard(table(spark, sf_dir, "customer"), "c_custkey", "user_key", "UserID does not exist in the Users table.")
+    guard = changes.Guard(table(spark, sf_dir, "customer"), "c_custkey", "user_key", NO_USER)
     added, _ = changes.guarded_insert(orders, requests, [guard], "o_orderkey", "event_id",
                                       {"o_custkey": "user_key", "o_orderdate": "order_date"})
     return added
 
 
+def _line_requests(spark, sf_dir) -> tuple[DataFrame, list[changes.Guard]]:
+    requests = _requests(spark, sf_dir, order_key="event_id * if(event_type = 'purchase', 3, 1)",
+                         product_key="user_id * if(event_type = 'signup', 17, 2)",
+                         new_quantity="cast(event_id % 50 + 1 AS int)")
+    return requests, [changes.Guard(table(spark, sf_dir, "orders"), "o_orderkey", "order_key", NO_ORDER),
+                      changes.Guard(table(spark, sf_dir, "part"), "p_partkey", "product_key", NO_PRODUCT)]
+
+
 def guarded_insert_two(spark, sf_dir):
     """The verdict on order lines that need an order and a product."""
-    requests = _requests(spark, sf_dir, "purchase").select(
-        "event_id", (F.col("event_id") * 3).alias("order_key"), (F.col("user_id") * 17).alias("product_key"))
-    return changes.guarded(requests, [
-        changes.Guard(table(spark, sf_dir, "orders"), "o_orderkey", "order_key", "OrderID does not exist in the Orders table."),
-        changes.Guard(table(spark, sf_dir, "part"), "p_partkey", "product_key", "ProductID does not exist in the Products table."),
-    ])
+    return changes.guarded(*_line_requests(spark, sf_dir))
 
 
-def guarded_insert_category(spark, sf_dir):
-    """The verdict on products that need a category: one region has no such part type."""
+def insert_order_lines(spark, sf_dir):
+    """All order lines after adding the accepted ones, and the rejected requests with their reason."""
+    requests, guards = _line_requests(spark, sf_dir)
+    added, rejected = changes.guarded_insert(
+        _lines(spark, sf_dir), requests, guards, "line_id", "event_id",
+        {"l_orderkey": "order_key", "l_partkey": "product_key", "quantity": "new_quantity"})
+    return added.withColumn("status", F.lit(changes.ACCEPTED)).unionByName(rejected.selectExpr(
+        "event_id AS line_id", "order_key AS l_orderkey", "product_key AS l_partkey", "new_quantity AS quantity",
+        "cast(NULL AS string) AS product_name", "status"))
+
+
+def _product_requests(spark, sf_dir) -> tuple[DataFrame, list[changes.Guard]]:
+    requests = _requests(spark, sf_dir, new_name="concat('Made', cast(event_id AS string))",
+                         category="CASE WHEN user_id % 4 = 0 THEN 'NO SUCH TYPE' WHEN event_type = 'view' THEN 'STANDARD'"
+                                  " ELSE 'ECONOMY' END",
+                         new_price="cast(value AS decimal(10,2))")
     types = table(spark, sf_dir, "part").select("p_type")
-    requests = _requests(spark, sf_dir, "signup").select(
-        "event_id", F.when(F.col("user_id") % 4 == 0, F.lit("NO SUCH TYPE")).otherwise(F.lit("ECONOMY")).alias("category"))
-    return changes.guarded(requests, [
-        changes.Guard(types, "p_type", "category", "CategoryID does not exist in the ProductCategories table.")])
+    return requests, [changes.Guard(types, "p_type", "category", NO_CATEGORY)]
+
+
+def guarded_insert_category(spark, sf_dir):
+    """The verdict on products that need a category."""
+    requests, guards = _product_requests(spark, sf_dir)
+    return changes.guarded(requests.select("event_id", "category"), guards)
+
+
+def insert_products(spark, sf_dir):
+    """All products after adding the accepted ones, and the rejected requests with their reason."""
+    requests, guards = _product_requests(spark, sf_dir)
+    added, rejected = changes.guarded_insert(
+        _products(spark, sf_dir), requests, guards, "p_partkey", "event_id",
+        {"p_name": "new_name", "p_type": "category", "p_price": "new_price"})
+    return added.withColumn("status", F.lit(changes.ACCEPTED)).unionByName(rejected.selectExpr(
+        "event_id AS p_partkey", "new_name AS p_name", "category AS p_type", "new_price AS p_price", "status"))
 
 
 def list_users(spark, sf_dir):
@@ -413,8 +489,8 @@ def orders_by_user(spark, sf_dir):
 
 
 def order_lines(spark, sf_dir):
-    """Lines of the orders that purchases name."""
-    named = _requests(spark, sf_dir, "purchase").select(F.col("event_id").alias("l_orderkey"))
+    """Lines of the orders that events name."""
+    named = _requests(spark, sf_dir, l_orderkey="event_id * if(event_type = 'purchase', 1, 5)")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
     return changes.matching(lines, named, "l_orderkey")
 
@@ -433,9 +509,11 @@ def seed_tables(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("id"))
     made = changes.seed_tables(ids, seed=42)
     users, orders = made["users"], made["orders"].drop("UserID")
+    catalogue = changes.seed_catalogue(spark)
+    products = catalogue["products"].join(catalogue["categories"], "CategoryID").select("ProductID", "CategoryName", "Price")
     return (users.join(made["addresses"], "UserID")
             .join(orders, F.col("OrderID") == F.col("UserID"))
-            .join(made["order_details"], "OrderID"))
+            .join(made["order_details"], "OrderID").join(products, "ProductID"))
 
 
 QUERIES: dict[str, Query] = {
@@ -450,20 +528,21 @@ QUERIES: dict[str, Query] = {
     "group_agg_text": _groups(group_by="QueryText"),
     "group_agg_normalized": _groups(group_by="NormalizedText"),
     "group_agg_select_only": _groups(statement_type="SELECT"),
-    "group_agg_merged": _groups(group_by="NormalizedText", merge_groups=True),
+    "group_agg_merged": _groups(group_by="NormalizedText"),
     "compare_hash": _compare(),
     "compare_text": _compare(group_by="QueryText"),
     "compare_normalized": _compare(group_by="NormalizedText"),
     "compare_cpu": _compare(metric="CPU"),
     "compare_duration": _compare(metric="Duration"),
-    "compare_merged": _compare(group_by="NormalizedText", merge_groups=True),
+    "compare_merged": _compare(group_by="NormalizedText"),
+    "compare_split": _compare(group_by="NormalizedText", split_by_hash=True),
     "regressed_groups": regressed_groups,
     "multi_plan_only": multi_plan_only,
     "dominant_plans": dominant_plans_query,
     "dominant_pairs": dominant_pairs_query,
     "multi_plan_dominant": multi_plan_dominant,
     "plan_indicators": plan_indicators,
-    "regression_overview": _report("overview", min_exec=100),
+    "regression_overview": _report("overview", min_exec=100, top_n=100),
     "regression_overview_text": _report("overview", group_by="QueryText", metric="CPU", top_n=None),
     "regression_summary": _report("summary"),
     "multi_plan_drilldown": _report("drilldown", store="plans"),
@@ -485,6 +564,9 @@ QUERIES: dict[str, Query] = {
     "replay_outcomes_total": replay_outcomes_total,
     "replay_duration_text": replay_duration_text,
     "interval_rollup": interval_rollup,
+    "statement_digests": statement_digests,
+    "loaded_events": loaded_events,
+    "loaded_run": loaded_run,
     "stream_classified": stream_classified,
     "stream_counts": stream_counts,
     "stream_interval_rollup": stream_interval_rollup,
@@ -496,6 +578,8 @@ QUERIES: dict[str, Query] = {
     "guarded_insert": guarded_insert,
     "guarded_insert_two": guarded_insert_two,
     "guarded_insert_category": guarded_insert_category,
+    "insert_order_lines": insert_order_lines,
+    "insert_products": insert_products,
     "list_users": list_users,
     "orders_by_user": orders_by_user,
     "order_lines": order_lines,

@@ -99,11 +99,17 @@ def _term(indicator: Indicator) -> str:
     return f"({indicator.xpath})[1]"
 
 
+def well_formed(xml: str) -> str:
+    """The XML column where it can be parsed, else NULL, as SQL text."""
+    return f"if(from_xml({xml}, '_corrupt_record string', map('mode', 'PERMISSIVE'))._corrupt_record IS NULL, {xml}, NULL)"
+
+
 def indicator_columns(xml: str) -> list[str]:
     """All indicators of an XML column with Spark's own XPath, as SQL texts.
 
     One XPath asks for many of them at once, so a plan is parsed once per XPath
-    and not once per indicator.  No XML gives NULLs; malformed XML is an error.
+    and not once per indicator.  No XML gives NULLs; malformed XML is an error,
+    so pass a column of ``well_formed`` XML.
     """
     columns = []
     for first in range(0, len(INDICATORS), _PER_XPATH):
@@ -129,32 +135,49 @@ def _checked(plans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(plan) for plan in plans], columns=[i.name for i in INDICATORS], dtype=object)
 
 
+# where the walk over a plan looks for each indicator
+_BY_OPERATOR = {i.xpath.split('"')[1]: i.name for i in INDICATORS if i.xpath.startswith("//RelOp[@PhysicalOp=")}
+_BY_WARNING = {i.xpath.rpartition("/")[2]: i.name for i in INDICATORS if i.xpath.startswith("//Warnings/")}
+_BY_MEMORY = {i.xpath.rpartition("@")[2]: i.name for i in INDICATORS if i.kind == "value"}
+
+
 def _read(plan: str | None) -> list[int | None]:
+    """All indicators of one plan in one walk over its tree."""
     import xml.etree.ElementTree as ET
 
-    nothing: list[int | None] = [None] * len(INDICATORS)
     if plan is None:
-        return nothing
+        return [None] * len(INDICATORS)
     try:
         root = ET.fromstring(plan)
     except ET.ParseError:
-        return nothing
-    for node in root.iter():
-        node.tag = node.tag.rpartition("}")[2]
-    tree = ET.Element("document")
-    tree.append(root)
-    return [_evaluate(tree, i) for i in INDICATORS]
-
-
-def _evaluate(tree, indicator: Indicator) -> int | None:
-    """The few XPath forms used above, on a parsed plan."""
-    if indicator.kind == "value":
-        path, _, attribute = indicator.xpath.rpartition("/@")
-        first = next((n.get(attribute) for n in tree.iterfind(f".{path}") if n.get(attribute) is not None), None)
-        return int(first) if first is not None and first.strip().lstrip("+-").isdigit() else None
-    if "contains(" in indicator.xpath:
-        nodes = [n for n in tree.iter("RelOp") if "Spool" in n.get("PhysicalOp", "")]
-    else:
-        paths = indicator.xpath.replace(" and @", "][@").split("|")
-        nodes = [n for path in paths for n in tree.iterfind(f".{path}")]
-    return len(nodes) if indicator.kind == "count" else int(bool(nodes))
+        return [None] * len(INDICATORS)
+    found: dict[str, int | None] = {i.name: None if i.kind == "value" else 0 for i in INDICATORS}
+
+    def count(name: str | None) -> None:
+        if name:
+            found[name] += 1
+
+    waiting, memory = [root], dict(_BY_MEMORY)
+    while waiting:
+        node = waiting.pop()
+        children = list(node)
+        waiting += reversed(children)  # first things first
+        tag = node.tag.rpartition("}")[2]
+        if tag == "RelOp":
+            operator = node.get("PhysicalOp", "")
+            count(_BY_OPERATOR.get(operator))
+            count("hash_agg_count" if operator == "Hash Match" and node.get("LogicalOp") == "Aggregate" else None)
+            count("spool_count" if "Spool" in operator else None)
+            count("has_batch_mode" if node.get("EstimatedExecutionMode") == "Batch" else None)
+        elif tag in ("IndexScan", "IndexSeek"):
+            count("has_columnstore" if node.get("Storage") == "ColumnStore" else None)
+        elif tag == "MissingIndexes":
+            count("has_missing_index")
+        elif tag == "MemoryGrantInfo":
+            for attribute in [a for a in memory if node.get(a) is not None]:
+                value = node.get(attribute).strip()
+                found[memory.pop(attribute)] = int(value) if value.lstrip("+-").isdigit() else None
+        elif tag == "Warnings":
+            for child in children:
+                count(_BY_WARNING.get(child.tag.rpartition("}")[2]))
+    return [min(1, found[i.name]) if i.kind == "bit" else found[i.name] for i in INDICATORS]

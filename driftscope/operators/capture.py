@@ -38,17 +38,31 @@ def replayable(events: DataFrame, replay_type: int = 3) -> DataFrame:
     return events.where(F.lower("event_name").isin(*REPLAY_TYPES[replay_type])).where(~st.is_reset())
 
 
+_CALL_COLUMNS = {"event_name", "object_name", "statement", "batch_text"}
+
+
+def executable(events: DataFrame) -> DataFrame:
+    """Events that are run again: not the calls of the reset procedure, however they are written.
+
+    Counts, order, roll-ups and rewritten statements all use this rule, so they
+    agree.  Frames without the columns of statements are left as they are.
+    """
+    if not _CALL_COLUMNS <= set(events.columns):
+        return events
+    name = F.lower(st.procedure_name(st.event_text()))
+    return events.where(~((st.kind() == st.SP) & name.eqNullSafe(F.lit(st.RESET_NAME))))
+
+
 def classify(events: DataFrame) -> DataFrame:
     """Add ``kind`` and ``sql_text``, the text the event ran."""
     return events.withColumns({"kind": st.kind(), "sql_text": st.event_text()})
 
 
 def rewrite(classified: DataFrame) -> DataFrame:
-    """Add ``replay_text``; calls whose name is the reset procedure are skipped."""
+    """Add ``replay_text`` to the executable events."""
     text = F.col("sql_text")
     call = F.col("kind") == st.SP
-    reset_call = call & F.lower(st.procedure_name(text)).eqNullSafe(F.lit(st.RESET_NAME))
-    return classified.where(~reset_call).withColumn(
+    return executable(classified).withColumn(
         "replay_text", F.when(call, st.rewritten_call(text)).otherwise(st.rewritten_batch(text))
     )
 
@@ -97,6 +111,7 @@ def sequence(events: DataFrame, file: str = "file_name", created: str = "file_cr
     is cut to a whole number.  Besides the events themselves, shuffled once on
     (file, block of ids), only counts are touched: per block, then per file.
     """
+    events = executable(events)
     blocks = block_counts(events, [file], order_id, width, F.min(created).alias("_created"))
     in_file = block_offsets(blocks, [file], width)
     by_file = blocks.groupBy(file).agg(F.min("_created").alias("_created"), F.sum("_rows").alias("_in_file"))
@@ -121,7 +136,7 @@ def outcomes(classified: DataFrame, *by: str) -> DataFrame:
         for kind, name in ((st.SP, "sp"), (st.ADHOC, "adhoc"))
         for ok, word in ((True, "successful"), (False, "failed"))
     ]
-    return classified.groupBy(*by).agg(*counted)
+    return executable(classified).groupBy(*by).agg(*counted)
 
 
 def duration_words(seconds: Column) -> Column:
@@ -150,7 +165,7 @@ def interval_rollup(events: DataFrame, *key: str, interval: str = "1 minute", ts
     This is the shape of runtime statistics, so a capture can be compared too.
     Works on a stream as well (see :mod:`driftscope.streaming`).
     """
-    rolled = events.groupBy(F.window(ts, interval).alias("interval"), *key).agg(
+    rolled = executable(events).groupBy(F.window(ts, interval).alias("interval"), *key).agg(
         F.count(F.lit(1)).alias("count_executions"),
         F.sum("duration").alias("total_duration"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftscope.operators.preagg import primary_replica, user_queries
-from driftscope.sources.runs import Run
+from driftscope.sources.runs import SIDES, Run
 
 
 def collection_check(run: Run) -> DataFrame:
@@ -17,7 +17,8 @@ def collection_check(run: Run) -> DataFrame:
 
     A procedure has been called as often as its most executed statement.
     Statistics shrink to one row per plan, then per query, then per object;
-    all four figures come out of the same pass.
+    all four figures come out of the same pass.  A side without statistics has
+    a row too: no sums and counts of 0.
     """
     per_plan = primary_replica(run.runtime_stats).groupBy("side", "plan_id").agg(
         F.sum(F.col("count_executions").cast("bigint")).alias("executions")
@@ -34,12 +35,14 @@ def collection_check(run: Run) -> DataFrame:
         F.max("executions").alias("most"), F.sum("executions").alias("all"), F.count(F.lit(1)).alias("queries")
     )
     is_object = F.col("object_id").isNotNull()
-    return per_object.groupBy("side").agg(
+    sides = run.plan.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SIDES))).alias("side"))
+    found = per_object.groupBy("side").agg(
         F.sum(F.when(is_object, F.col("most"))).alias("total_sp_execution_count"),
         F.sum(F.when(~is_object, F.col("all"))).alias("total_adhoc_execution_count"),
         F.count_if(is_object).alias("total_sp_count"),
-        F.coalesce(F.sum(F.when(~is_object, F.col("queries"))), F.lit(0)).alias("total_adhoc_query_count"),
+        F.sum(F.when(~is_object, F.col("queries"))).alias("total_adhoc_query_count"),
     )
+    return sides.join(found, "side", "left").fillna(0, ["total_sp_count", "total_adhoc_query_count"])
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftscope.functions.report import RATIO, TOTAL, flag_list, flag_text
-from driftscope.operators.groups import GROUP
+from driftscope.operators.groups import GROUP, hash_bytes
 from driftscope.params import CompareParams
 
 # The confidence flags.
@@ -38,17 +39,20 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare(groups: DataFrame, p: CompareParams, end_fallback: Iterable[str] = ()) -> DataFrame:
-    """One row per pair of matching groups, and one per group without a match.
+    """One row per group of both sides, and one per group without a match.
 
     ``groups`` is read once per side and once more for the unmatched ones, so
     it should be persisted or stored (:class:`driftscope.Comparison` does).
     """
+    keys = [*GROUP, "meet_hash"] if p.split_by_hash else GROUP
+    if p.split_by_hash:
+        groups = groups.withColumn("meet_hash", F.coalesce(F.expr(hash_bytes(groups)), F.lit(b"")))
     low, high = (
         groups.where(f"side = '{side}'").selectExpr(
-            *GROUP, *[f"{c} AS {c}_{tag}" for c in _CARRIED], f"true AS present_{tag}")
+            *keys, *[f"{c} AS {c}_{tag}" for c in _CARRIED], f"true AS present_{tag}")
         for tag, side in (("l", "L"), ("h", "H"))
     )
-    return _measures(full_outer(low, high, GROUP), p, frozenset(end_fallback))
+    return _measures(full_outer(low, high, keys), p, frozenset(end_fallback))
 
 
 def _measures(joined: DataFrame, p: CompareParams, end_fallback: frozenset[str]) -> DataFrame:

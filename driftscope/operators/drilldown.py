@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftscope.functions.text import text_digest
 from driftscope.operators.dominant import keep_groups
-from driftscope.operators.numbering import WIDTH, value_ranks
+from driftscope.operators.numbering import value_ranks
 from driftscope.params import CompareParams
 
 RANKED_IN = ["side", "group_key"]
@@ -25,29 +25,15 @@ def multi_plan_rows(identified: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def largest_ranking(rows: DataFrame) -> int:
-    """Plans in the largest set to rank.  Runs a job; store ``rows`` first."""
-    sizes = rows.groupBy(*RANKED_IN).agg(F.expr("count(1) AS n"))
-    return sizes.agg(F.expr("coalesce(max(n), 0) AS n")).first()["n"]
-
-
-def multi_plan_detail(rows: DataFrame, plan: DataFrame, p: CompareParams, largest: int | None = None) -> DataFrame:
+def multi_plan_detail(rows: DataFrame, plan: DataFrame, p: CompareParams) -> DataFrame:
     """Add the digest of each plan's XML and its ranks by average and executions.
 
-    If the ``largest`` set to rank is known to fit a task, windows rank it: one
-    shuffle.  Otherwise distinct values are ranked in bounded windows and joined
-    back, which spreads a key with very many plans over many tasks.
+    Distinct values are ranked in bounded windows and joined back, which spreads
+    a key with very many plans over many tasks.  XML is hashed where it is read;
+    only digests are shuffled.
     """
-    xml = plan.select("side", "plan_id", "query_plan")
-    hashed = rows.join(xml, ["side", "plan_id"]).withColumn(
-        "plan_xml_hash", text_digest(F.col("query_plan"), p.charset)
-    ).drop("query_plan")
-    if largest is not None and largest <= WIDTH:
-        window = Window.partitionBy(*RANKED_IN)
-        return hashed.withColumns({
-            "rank_by_avg": F.dense_rank().over(window.orderBy(F.desc("avg_metric"))),
-            "rank_by_exec": F.dense_rank().over(window.orderBy(F.desc("sum_exec"))),
-        })
+    digests = plan.select("side", "plan_id", text_digest(F.col("query_plan"), p.charset).alias("plan_xml_hash"))
+    hashed = rows.join(digests, ["side", "plan_id"])
     by_avg = value_ranks(rows, RANKED_IN, "avg_metric", "rank_by_avg", scale=6)
     by_exec = value_ranks(rows, RANKED_IN, "sum_exec", "rank_by_exec")
     return hashed.join(by_avg, [*RANKED_IN, "avg_metric"]).join(by_exec, [*RANKED_IN, "sum_exec"])

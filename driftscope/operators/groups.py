@@ -47,7 +47,7 @@ def object_names(objects: DataFrame, schemas: DataFrame) -> DataFrame:
 def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
     """Give every plan its group: key, query type and object name.
 
-    Also attaches the text samples and ``candidate``, the struct whose maximum
+    Also attaches the text sample and ``candidate``, the struct whose maximum
     is the most executed plan.  Columns nobody asks for later are pruned, text
     included.  The join itself keeps texts in use; restricting them beforehand
     would compute the plans twice.
@@ -66,7 +66,6 @@ def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
         "coalesce(if(object_id > 0, full_name, NULL), '') AS obj_key",
         f"{group_key(known, p)} AS group_key",
         "query_text_sample",
-        "normalized_sample",
         f"{metric_column('total', p)} AS total_metric",
         f"{average} AS avg_metric",
         f"struct(sum_exec, {average} AS avg_metric, plan_id, query_id) AS candidate",
@@ -76,18 +75,17 @@ def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
 def group_stats(identified: DataFrame, p: CompareParams) -> DataFrame:
     """Totals per side and group, with averages weighted anew.
 
-    By default groups are also split by query hash and object id, so one
-    (key, type, name) can have several rows per side; ``merge_groups`` makes it
-    one.  A plan occurs once per side here, which makes counting plans the same
-    as counting distinct ones.
+    One row per side, key, type and name, so that a side can meet the other
+    once only; with ``split_by_hash`` one row per query hash as well.  A plan
+    occurs once per side here, which makes counting plans the same as counting
+    distinct ones.
     """
     keys = ["side", "query_type", "obj_name", "obj_key", "group_key"]
-    split = ["query_hash", "object_id"]
-    merged = [f"min({c}) AS {c}" for c in split] if p.merge_groups else []
-    totals = identified.groupBy(*keys, *([] if p.merge_groups else split)).agg(*map(F.expr, (
+    split = ["query_hash"] if p.split_by_hash else []
+    merged = [f"min({c}) AS {c}" for c in ("query_hash", "object_id") if c not in split]
+    totals = identified.groupBy(*keys, *split).agg(*map(F.expr, (
         *merged,
         "min(query_text_sample) AS query_text_sample",
-        "min(normalized_sample) AS normalized_sample",
         "min(query_id) AS query_id_min",
         "max(query_id) AS query_id_max",
         "cast(count(plan_id) AS int) AS plan_count",
@@ -99,7 +97,7 @@ def group_stats(identified: DataFrame, p: CompareParams) -> DataFrame:
         "max(candidate) AS candidate",
     )))
     return totals.selectExpr(
-        *keys, *split, "query_text_sample", "normalized_sample", "query_id_min", "query_id_max",
+        *keys, "query_hash", "object_id", "query_text_sample", "query_id_min", "query_id_max",
         "plan_count", "exec_count",
         "total_metric", f"{weighted_average('total_metric', 'exec_count')} AS avg_metric",
         "total_duration", f"{weighted_average('total_duration', 'exec_count')} AS avg_duration",

@@ -11,6 +11,8 @@ from driftscope.params import CompareParams
 from driftscope.sources.runs import Run
 
 WIDE = "decimal(38,12)"
+# intervals of at most this many bytes are sent to every task
+INTERVAL_BYTES = 32 << 20
 
 
 def time_window(interval: DataFrame, p: CompareParams) -> DataFrame:
@@ -55,24 +57,44 @@ def _weighted(df: DataFrame, average: str) -> str:
     return f"cast(sum(cast({average} AS {WIDE}) * cast({count} AS {WIDE})) AS {TOTAL})"
 
 
-def plan_stats(run: Run, p: CompareParams) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark expects the rows to take, from file sizes and without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _totals(df: DataFrame, weigh: bool) -> list[str]:
+    """Executions and weighted totals; ``weigh`` multiplies averages first, otherwise totals are added up."""
+    if weigh:
+        return ["sum(cast(count_executions AS bigint)) AS sum_exec", *[
+            f"{_weighted(df, column)} AS total_{m}"
+            for m, column in (("reads", "avg_logical_io_reads"), ("cpu", "avg_cpu_time"), ("dur", "avg_duration"))]]
+    return ["cast(sum(sum_exec) AS bigint) AS sum_exec",
+            *[f"cast(sum(total_{m}) AS {TOTAL}) AS total_{m}" for m in ("reads", "cpu", "dur")]]
+
+
+def plan_stats(run: Run, p: CompareParams, interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
     """Executions, weighted totals and averages, and time bounds per plan.
 
-    The statistics meet only the interval table before they are aggregated, so
-    the one big table is shuffled after partial aggregation and a plan with
-    very many intervals costs no more than any other.  Plan and query rows join
-    at plan grain afterwards.
+    The statistics are the one big table.  They meet only ids and bounds of the
+    intervals.  Those are broadcast if Spark expects at most ``interval_bytes``
+    of them, and the statistics are then aggregated where they are read, before
+    any shuffle.  Beyond that, statistics are added up per plan and interval
+    first, so that what is shuffled for the join is no more than that.  Plan and
+    query rows join at plan grain afterwards.
     """
     stats = run.runtime_stats
     queries = included_queries(run.query, p)
     if p.primary_replica_only:
         stats, queries = primary_replica(stats), user_queries(queries)
-    timed = stats.join(time_window(run.interval, p), ["side", "runtime_stats_interval_id"])
+    interval = time_window(run.interval, p).select("side", "runtime_stats_interval_id", "start_time", "end_time")
+    at_once = estimated_bytes(interval) <= interval_bytes
+    if at_once:
+        interval = F.broadcast(interval)
+    else:
+        stats = stats.groupBy("side", "plan_id", "runtime_stats_interval_id").agg(*map(F.expr, _totals(stats, True)))
+    timed = stats.join(interval, ["side", "runtime_stats_interval_id"])
     totals = timed.groupBy("side", "plan_id").agg(*map(F.expr, (
-        "sum(cast(count_executions AS bigint)) AS sum_exec",
-        f"{_weighted(timed, 'avg_logical_io_reads')} AS total_reads",
-        f"{_weighted(timed, 'avg_cpu_time')} AS total_cpu",
-        f"{_weighted(timed, 'avg_duration')} AS total_dur",
+        *_totals(timed, at_once),
         "min(start_time) AS interval_start_min",
         "max(end_time) AS interval_end_max",
     )))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftscope.functions.planxml import (
-    INDICATORS, SHAPE_FLAG, indicator_columns, tolerant_indicators,
+    INDICATORS, SHAPE_FLAG, indicator_columns, tolerant_indicators, well_formed,
 )
 from driftscope.functions.report import flag_text
 from driftscope.functions.text import text_digest
@@ -24,15 +24,16 @@ def pair_members(pairs: DataFrame) -> DataFrame:
 def plan_indicators(members: DataFrame, plan: DataFrame, p: CompareParams, engine: str = "xpath") -> DataFrame:
     """Fetch the XML of the given plans and read it.
 
-    One pass over the plan table serves both sides.  Plans that are not asked
-    for are dropped by the join before any XML is parsed.
+    Plans that are not asked for are dropped by the join before any XML is
+    parsed.  No XML, or malformed XML, gives NULLs.
     """
     if engine not in ("xpath", "pandas"):
         raise ValueError(f"engine must be xpath or pandas, not {engine!r}")
     fetched = members.join(plan.select("side", "plan_id", "query_plan"), ["side", "plan_id"])
     base = [*members.columns, "query_plan", text_digest(F.col("query_plan"), p.charset).alias("plan_xml_hash")]
     if engine == "xpath":
-        return fetched.select(*base).selectExpr("*", *indicator_columns("query_plan"))
+        readable = fetched.select(*base).selectExpr("*", f"{well_formed('query_plan')} AS _xml")
+        return readable.selectExpr("* EXCEPT (_xml)", *indicator_columns("_xml"))
     return fetched.select(*base, tolerant_indicators(F.col("query_plan")).alias("i")).select(
         *members.columns, "query_plan", "plan_xml_hash", "i.*"
     )
@@ -50,11 +51,13 @@ def shape_diff(regressions: DataFrame, pairs: DataFrame, indicators: DataFrame)
     """Regressed groups with the indicators of both dominant plans and the flags.
 
     Groups without a pair are left out; a plan without a row in the plan table
-    counts as unknown.
+    counts as unknown.  ``indicators`` has one row per side and group; both
+    sides come side by side in one aggregate, so the plan table is read once.
     """
-    joined = regressions.join(pairs.select(*GROUP, "plan_id_l", "plan_id_h"), GROUP)
     facts = ["query_plan", "plan_xml_hash", *[i.name for i in INDICATORS]]
-    for tag, side in (("l", "L"), ("h", "H")):
-        of_side = indicators.where(f"side = '{side}'").selectExpr(*GROUP, *[f"{c} AS {c}_{tag}" for c in facts])
-        joined = joined.join(of_side, GROUP, "left")
+    by_group = indicators.groupBy(*GROUP).agg(*[
+        F.expr(f"max(if(side = '{side}', struct({', '.join(facts)}), NULL)) AS facts_{tag}")
+        for tag, side in (("l", "L"), ("h", "H"))
+    ]).selectExpr(*GROUP, *[f"facts_{tag}.{c} AS {c}_{tag}" for tag in "lh" for c in facts])
+    joined = regressions.join(pairs.select(*GROUP, "plan_id_l", "plan_id_h"), GROUP).join(by_group, GROUP, "left")
     return joined.selectExpr("*", f"{difference_flags()} AS diff_flags")

@@ -30,9 +30,11 @@ class CompareParams:
     they become a grouping key or are searched for a statement type; None (the
     default) uses whole texts, 4000 gives the keys
     of a database that cuts them there.  ``sample_chars`` is
-    the length of the text shown in reports.  ``merge_groups`` keeps one group
-    per key, type and object name instead of splitting it by query hash and
-    object id as well.
+    the length of the text shown in reports; None (the default) shows whole
+    texts.  ``top_n`` limits the overview to so many rows; None keeps all.
+    ``split_by_hash`` keeps the queries of a group apart by query hash, which
+    then also has to agree between the sides; otherwise a side has one row per
+    key, type and object name.
     """
 
     metric: str = "LogicalReads"
@@ -42,15 +44,15 @@ class CompareParams:
     end: dt.datetime | None = None
     min_exec: int | None = 100
     min_ratio: Decimal | float | str | None = Decimal("1.25")
-    top_n: int | None = 100
+    top_n: int | None = None
     include_adhoc: bool = True
     include_sp: bool = True
     only_multi_plan: bool = False
-    merge_groups: bool = False
+    split_by_hash: bool = False
     primary_replica_only: bool = False
     charset: str = "UTF-16LE"
     key_chars: int | None = None
-    sample_chars: int = 4000
+    sample_chars: int | None = None
     compact: bool = False
 
     def __post_init__(self):
@@ -63,7 +65,7 @@ class CompareParams:
         _one_of("statement_type", self.statement_type, STATEMENT_TYPES)
         if self.start is not None and self.end is not None and self.end <= self.start:
             raise ParameterError("end", "must be later than start")
-        for flag in ("include_adhoc", "include_sp", "only_multi_plan", "merge_groups",
+        for flag in ("include_adhoc", "include_sp", "only_multi_plan", "split_by_hash",
                      "primary_replica_only", "compact"):
             if getattr(self, flag) not in (True, False):
                 raise ParameterError(flag, "must be true or false")
@@ -73,10 +75,10 @@ class CompareParams:
                 raise ParameterError(count, "must be None or a whole number of at least 0")
         for length in ("key_chars", "sample_chars"):
             value = getattr(self, length)
-            if value is None and length == "key_chars":
+            if value is None:
                 continue
             if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-                raise ParameterError(length, "must be a positive whole number")
+                raise ParameterError(length, "must be None or a positive whole number")
         if self.min_ratio is not None:
             # decimal(9,4), as the ratio threshold is declared
             ratio = Decimal(str(self.min_ratio)).quantize(Decimal("0.0001"))

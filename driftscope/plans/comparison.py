@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from driftscope.operators.compare import IS_MULTI_PLAN, compare, group_names, regressed
 from driftscope.operators.dominant import dominant_pairs, multi_plan_dominant
-from driftscope.operators.drilldown import largest_ranking, multi_plan_detail, multi_plan_rows
+from driftscope.operators.drilldown import multi_plan_detail, multi_plan_rows
 from driftscope.operators.groups import group_stats, identify
 from driftscope.operators.preagg import plan_stats
 from driftscope.operators.shape import pair_members, plan_indicators, shape_diff
@@ -112,10 +112,8 @@ class Comparison:
         return reports.summary(self.regressions, self.params, self.sides)
 
     def drilldown(self) -> DataFrame:
-        """Result set 3.  Looks at the sizes of groups first, so this runs a job if anything is stored."""
-        rows = self.multi_plan_rows
-        largest = largest_ranking(rows) if self.store else None
-        return reports.drilldown(multi_plan_detail(rows, self.run.plan, self.params, largest), self.sides)
+        """Result set 3."""
+        return reports.drilldown(multi_plan_detail(self.multi_plan_rows, self.run.plan, self.params), self.sides)
 
     def shape_report(self) -> DataFrame:
         """Result set 4."""
@@ -141,7 +139,7 @@ class Comparison:
             ("comparison", "compared"),
             ("regressed groups", "regressed_groups"),
             ("dominant pairs", "pairs"),
-            ("multi-plan indicators", "indicators"),
+            ("plans of multi-plan groups", "multi_plan_rows"),
         ):
             setattr(self, attribute, steps.run(name, getattr(self, attribute)))
         return self

@@ -54,22 +54,43 @@ def as_run(tables: Mapping[str, DataFrame], side: str) -> Run:
     return Run(**tagged, end_fallback=frozenset() if has_end else frozenset(side))
 
 
-def load_run(spark: SparkSession, paths: Mapping[str, str], side: str,
-             format: str = "parquet", **options: str) -> Run:
+# what splits a JDBC table into reads that run side by side
+JDBC_PARTITIONING = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def reader_options(table: str, source: str, format: str, options: Mapping[str, str],
+                   table_options: Mapping[str, Mapping[str, str]]) -> dict[str, str]:
+    """The options one table is read with: those of all tables, then its own.
+
+    Over JDBC the statistics must say how they are split, because one
+    connection would read the largest table alone.
+    """
+    own = {**options, **table_options.get(table, {})}
+    if format == "jdbc":
+        missing = [o for o in JDBC_PARTITIONING if o not in own]
+        if table == "runtime_stats" and missing:
+            raise ValueError(f"runtime_stats over JDBC needs {', '.join(missing)} in table_options")
+        own["dbtable"] = source
+    return own
+
+
+def load_run(spark: SparkSession, paths: Mapping[str, str], side: str, format: str = "parquet",
+             table_options: Mapping[str, Mapping[str, str]] | None = None, **options: str) -> Run:
     """Read one side.
 
     ``paths`` maps the table names in :data:`TABLES` to folders or files, to
     table names for ``format="table"``, or to ``dbtable`` values for
     ``format="jdbc"`` (``options`` then holds url and driver).
+    ``table_options`` has options of single tables, such as how to split them.
     """
-    def read(source: str) -> DataFrame:
+    def read(table: str) -> DataFrame:
         if format == "table":
-            return spark.read.table(source)
-        if format == "jdbc":
-            return spark.read.format("jdbc").options(**options, dbtable=source).load()
-        return spark.read.format(format).options(**options).load(source)
+            return spark.read.table(paths[table])
+        reader = spark.read.format(format).options(
+            **reader_options(table, paths[table], format, options, table_options or {}))
+        return reader.load() if format == "jdbc" else reader.load(paths[table])
 
-    return as_run({t: read(paths[t]) for t in TABLES if t in paths}, side)
+    return as_run({t: read(t) for t in TABLES if t in paths}, side)
 
 
 def union_runs(low: Run, high: Run) -> Run:

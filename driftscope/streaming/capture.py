@@ -6,14 +6,15 @@ which a restarted query continues from its checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftscope.operators.capture import classify, interval_rollup, replayable, rewrite
+from driftscope.operators.capture import classify, executable, interval_rollup, replayable, rewrite
 
-# Interval length of the statistics and the longest delivery delay.
+# Fixed value: interval length of the statistics.
 INTERVAL = "1 minute"
-DELAY = "60 seconds"
+BATCH = "batch"
 
 
 def classified_stream(events: DataFrame, replay_type: int = 3) -> DataFrame:
@@ -23,15 +24,17 @@ def classified_stream(events: DataFrame, replay_type: int = 3) -> DataFrame:
 
 def running_counts(events: DataFrame, *by: str) -> DataFrame:
     """Events per file and kind so far.  State: one count per group."""
-    return classify(replayable(events)).groupBy(*(by or ("file_name", "kind"))).count()
+    return executable(classify(replayable(events))).groupBy(*(by or ("file_name", "kind"))).count()
 
 
-def rollup_stream(events: DataFrame, *key: str, interval: str = INTERVAL, delay: str = DELAY) -> DataFrame:
-    """Closed intervals per statement; events later than ``delay`` are dropped.
+def rollup_stream(events: DataFrame, *key: str, interval: str = INTERVAL, delay: str | None = None) -> DataFrame:
+    """Executions and averages per statement and interval, as they stand.
 
-    The watermark bounds the state to the intervals still open.
+    Late events change their interval, however late they are; the state is one
+    row per statement and interval.  ``delay`` bounds it to the intervals still
+    open and drops events that come later than that.
     """
-    return interval_rollup(events.withWatermark("ts", delay), *key, interval=interval)
+    return interval_rollup(events if delay is None else events.withWatermark("ts", delay), *key, interval=interval)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -41,15 +44,26 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def counts_to_files(counts: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Replace the counts under ``path`` after every batch.
+def changes_to_files(changing: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the rows that a batch changed to a folder of its own.
 
-    Counts change, which a file sink cannot follow; writing a batch again gives
-    the same files.
+    A batch that is written again replaces its own folder only; readers of
+    earlier batches are not disturbed.  ``newest`` reads the present state.
     """
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
-    writer = (counts.writeStream.outputMode("complete").foreachBatch(replace)
+    writer = (changing.writeStream.outputMode("update").foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def newest(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """Of each key the row of the latest batch that changed it.
+
+    Only folders of finished batches are read.
+    """
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*key, BATCH)]
+    last = rows.groupBy(*key).agg(F.max(F.struct(BATCH, *rest)).alias("last"))
+    return last.select(*key, *[F.col(f"last.{c}").alias(c) for c in rest])

@@ -74,6 +74,12 @@ def test_resets(spark):
     assert [r.event_id for r in left.orderBy("event_id").collect()] == [2, 3, 4]
     # the name rule works on the call, after counting
     assert sorted(r.event_id for r in capture.rewrite(capture.classify(left)).collect()) == [2, 4]
+    # and then for everything that counts what is run again
+    classified = capture.classify(left.withColumns({"file_created": F.col("ts"), "succeeded": F.lit(1), "duration": F.lit(1)}))
+    assert sorted(r.event_id for r in capture.sequence(classified).collect()) == [2, 4]
+    assert capture.sequence(classified).first().total_count == 2
+    assert capture.outcomes(classified).first().successful_sp == 2
+    assert sum(r.count_executions for r in capture.interval_rollup(classified, "kind").collect()) == 2
     counts = capture.counts_by_file(frame).first()
     assert (counts.rpc_count, counts.batch_count, counts.total_count, counts.seen_count) == (3, 0, 3, 5)
 

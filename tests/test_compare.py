@@ -155,9 +155,10 @@ def test_one_text_with_several_hashes(runs):
     texts = {1: "SELECT\tx", 2: "select x"}
     run = runs.both(low, high, texts=texts)
     assert compare(run, group_by="QueryText").compared.count() == 2
-    # every baseline hash meets every candidate hash
-    assert compare(run, group_by="NormalizedText").compared.count() == 4
-    merged = compare(run, group_by="NormalizedText", merge_groups=True).compared.collect()
+    # kept apart, a baseline hash meets the same candidate hash only
+    split = compare(run, group_by="NormalizedText", split_by_hash=True).compared.collect()
+    assert sorted((r.avg_metric_l, r.avg_metric_h) for r in split) == [(1, 5), (3, 7)]
+    merged = compare(run, group_by="NormalizedText").compared.collect()
     assert [(r.exec_count_l, r.avg_metric_l, r.avg_metric_h, r.query_id_range_l) for r in merged] == [(40, 2, 6, "1-2")]
     assert bytes(merged[0].group_key) == hashlib.sha256("select x".encode("utf-16-le")).digest()
 
@@ -166,10 +167,32 @@ def test_long_texts_differ_beyond_the_sample(runs):
     run = runs.both([(1, 1, 0, 0, 20, 1), (2, 2, 0, 0, 20, 1)], [(1, 1, 0, 0, 20, 5), (2, 2, 0, 0, 20, 5)],
                     texts={1: "S" * 4500 + "1", 2: "S" * 4500 + "2"}, hashes={1: b"h", 2: b"h"})
     assert compare(run, group_by="QueryText").compared.count() == 2
-    cut = compare(run, group_by="QueryText", key_chars=4000).compared.collect()
+    assert {len(r.query_text_sample) for r in compare(run, group_by="QueryText").compared.collect()} == {4501}
+    cut = compare(run, group_by="QueryText", key_chars=4000, sample_chars=4000).compared.collect()
     assert len(cut) == 1 and len(cut[0].query_text_sample) == 4000
 
 
+def test_many_hashes_of_one_text_are_one_row(runs):
+    many = range(1, 1001)
+    run = runs.both([(i, i, 0, 0, 20, 1) for i in many], [(i, i, 0, 0, 20, 5) for i in many],
+                    texts={i: "SELECT 1" for i in many})
+    rows = compare(run, group_by="QueryText").compared.collect()
+    assert [(r.exec_count_l, r.exec_count_h, r.plan_count_l) for r in rows] == [(20000, 20000, 1000)]
+
+
+def test_overview_keeps_all_regressions(runs):
+    many = range(1, 131)
+    run = runs.both([(i, i, 0, 0, 200, 1) for i in many], [(i, i, 0, 0, 200, 5) for i in many])
+    assert compare(run).overview().count() == 130
+
+
+def test_statistics_beyond_the_broadcast_bound(runs):
+    from driftscope.operators.preagg import plan_stats
+    run, p = runs.both(LOW, HIGH), CompareParams(min_exec=10)
+    both = [sorted(plan_stats(run, p, bound).collect()) for bound in (1 << 30, -1)]
+    assert both[0] == both[1] and len(both[0]) > 2
+
+
 def test_statement_type_filter(runs):
     run = runs.both(LOW, HIGH, texts={1: "UPDATE t", 2: "(@p int)SELECT 1"})
     assert [r.query_id_range_h for r in compare(run, statement_type="update").regressions.collect()] == ["1-1"]

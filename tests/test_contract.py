@@ -5,6 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from contract.oracle import ORACLE_SQL
+from contract.oracle_core import XML_FACTS
+from contract.queries import QUERIES, comparison
 from tools.check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,9 +19,9 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    problem, rows = compare(spark, duck, name, contract.queries()[name], contract.oracle_sql().get(name), SF_DIR)
+    problem, rows = compare(spark, duck, name, contract.queries()[name], ORACLE_SQL[name], SF_DIR)
     assert not problem
     assert rows > 0
 
@@ -50,18 +53,36 @@ def test_query_with_plans_for_large_tables(spark, duck, large_table_plans, name)
     assert not problem
 
 
-def test_statistics_are_aggregated_before_plans_join(spark):
-    """The big table is shuffled once, after partial aggregation, and read for the asked columns only."""
-    from contract.queries import comparison
+def test_statistics_are_aggregated_before_any_shuffle(spark):
+    """Between the scan of the big table and its partial sums there is no exchange; only asked columns are read."""
     plan = comparison(spark, SF_DIR, None).plan_stats.select("plan_id", "sum_exec")._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
-    assert physical.index("Join [side") < physical.index("functions=[partial_sum(count_executions")
-    scan = next(line for line in physical.splitlines() if "FileScan" in line and "l_quantity" in line)
+    lines = physical.splitlines()
+    top = next(i for i, line in enumerate(lines) if "functions=[partial_sum(count_executions" in line)
+    bottom = next(i for i, line in enumerate(lines) if "FileScan" in line and "l_quantity" in line)
+    between = [line for line in lines[top:bottom] if "Exchange" in line]
+    assert top < bottom and all("BroadcastExchange" in line for line in between)
+    scan = lines[bottom]
     assert "l_extendedprice" not in scan and "l_tax" not in scan
 
 
-def test_only_timings_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"step_metrics"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE_SQL) <= set(contract.oracle_sql())
+
+
+def test_every_indicator_occurs(duck):
+    """And differs between sides: each flag is raised for some plan of the derived run."""
+    from contract.oracle import FLAGS
+    from contract.oracle_core import RUN_INPUTS, xml_fact
+    facts = ", ".join(f"{xml_fact(k, p, 'query_plan')} AS {n}" for n, k, p in XML_FACTS)
+    some = ", ".join(f"max({n})" for n, _, _ in XML_FACTS)
+    got = duck.execute(f"WITH {RUN_INPUTS}, f AS (SELECT {facts} FROM pln) SELECT {some} FROM f").fetchone()
+    assert all(got)
+    pairs = ", ".join(f"count(*) FILTER (WHERE l.{n} IS DISTINCT FROM h.{n})" for n, _, _ in XML_FACTS)
+    differ = duck.execute(f"WITH {RUN_INPUTS}, f AS (SELECT side, plan_id, {facts} FROM pln) SELECT {pairs} "
+                          "FROM f l JOIN f h USING (plan_id) WHERE l.side = 'L' AND h.side = 'H'").fetchone()
+    assert all(differ) and len(differ) == len(FLAGS)
 
 
 def test_entry(spark):

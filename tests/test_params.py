@@ -9,13 +9,13 @@ from driftscope.params import CompareParams, ParameterError, check_table_name
 def test_defaults():
     p = CompareParams()
     assert (p.metric, p.group_by, p.statement_type) == ("LogicalReads", "QueryHash", "ALL")
-    assert (p.min_exec, p.min_ratio, p.top_n) == (100, Decimal("1.25"), 100)
+    assert (p.min_exec, p.min_ratio, p.top_n, p.sample_chars) == (100, Decimal("1.25"), None, None)
 
 
 @pytest.mark.parametrize("name, value", [
     ("metric", "Reads"), ("group_by", "Hash"), ("statement_type", "MERGE"), ("statement_type", None),
     ("charset", "latin1"), ("only_multi_plan", 2), ("min_exec", -1), ("top_n", 1.5), ("key_chars", 0),
-    ("sample_chars", None),
+    ("sample_chars", 0), ("split_by_hash", 2),
 ])
 def test_rejected(name, value):
     with pytest.raises(ParameterError) as error:

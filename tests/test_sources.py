@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import json
 
@@ -9,7 +10,7 @@ from driftscope.plans.persist import save_files, save_table
 from driftscope.plans.steps import Steps
 from driftscope.session import work_dir
 from driftscope.sources.capture import load_events
-from driftscope.sources.runs import TABLES, as_run, run_tables
+from driftscope.sources.runs import TABLES, as_run, reader_options, run_tables
 from driftscope.sources.sides import UNKNOWN, order_pairs
 from tests.test_compare import HIGH, LOW, SIDES
 
@@ -118,3 +119,40 @@ def test_work_dir_is_below_the_shared_folder(spark, tmp_path):
     if before:
         assert work_dir(spark, "x").startswith(before)
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_options_of_single_tables():
+    split = {"partitionColumn": "plan_id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8"}
+    own = {"runtime_stats": split}
+    got = reader_options("runtime_stats", "dbo.stats", "jdbc", {"url": "jdbc:x"}, own)
+    assert got == {"url": "jdbc:x", "dbtable": "dbo.stats", **split}
+    assert reader_options("plan", "dbo.plan", "jdbc", {"url": "jdbc:x"}, own) == {"url": "jdbc:x", "dbtable": "dbo.plan"}
+    with pytest.raises(ValueError, match="partitionColumn"):
+        reader_options("runtime_stats", "dbo.stats", "jdbc", {"url": "jdbc:x"}, {})
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, master, folder=None):
+            self.values = {"spark.master": master, "spark.checkpoint.dir": folder}
+
+        def get(self, key, default=None):
+            return self.values.get(key) or default
+
+    class Session:
+        def __init__(self, *args):
+            self.conf = Conf(*args)
+
+    assert work_dir(Session("local[4]"), "x").rpartition("/")[2].startswith("x-")
+    assert work_dir(Session("spark://host", "hdfs://shared"), "x").startswith("hdfs://shared/x-")
+    for master in ("spark://host", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            work_dir(Session(master), "x")
+
+
+def test_side_without_statistics_is_checked_too(runs):
+    from driftscope.operators.checks import collection_check
+    run = union_runs(runs.side("L", [(1, 1, 1, 0, 20, 1)]), runs.side("H", [(1, 1, 1, 0, 20, 1)]))
+    only_low = dataclasses.replace(run, runtime_stats=run.runtime_stats.where("side = 'L'"))
+    rows = {r.side: tuple(r)[1:] for r in collection_check(only_low).collect()}
+    assert rows == {"L": (20, None, 1, 0), "H": (None, None, 0, 0)}

@@ -5,7 +5,7 @@ import pytest
 
 from driftscope.operators import capture
 from driftscope.sources.capture import EVENT_SCHEMA, load_events, stream_events
-from driftscope.streaming.capture import classified_stream, counts_to_files, rollup_stream, running_counts, to_files
+from driftscope.streaming.capture import changes_to_files, classified_stream, newest, rollup_stream, running_counts, to_files
 
 START = dt.datetime(2025, 1, 1)
 
@@ -48,18 +48,25 @@ def test_classified_stream_equals_batch(spark, folder, tmp_path):
 
 def test_running_counts_equal_batch(spark, folder, tmp_path):
     counts = running_counts(stream_events(spark, folder, maxFilesPerTrigger="1"))
-    finish(counts_to_files(counts, f"{tmp_path}/out", f"{tmp_path}/check"))
-    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    finish(changes_to_files(counts, f"{tmp_path}/out", f"{tmp_path}/check"))
+    got = newest(spark, f"{tmp_path}/out", "file_name", "kind").collect()
     batch = capture.classify(capture.replayable(load_events(spark, folder))).groupBy("file_name", "kind").count()
     assert sorted(got) == sorted(batch.collect())
 
 
-def test_rollup_drops_late_events_and_keeps_open_intervals(spark, folder, tmp_path):
+def test_rollup_equals_batch_with_late_events(spark, folder, tmp_path):
     stream = rollup_stream(classified_stream(stream_events(spark, folder, maxFilesPerTrigger="1")), "object_name")
-    finish(to_files(stream, f"{tmp_path}/out", f"{tmp_path}/check"))
+    finish(changes_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/check"))
+    rows = newest(spark, f"{tmp_path}/out", "object_name", "start_time", "end_time").collect()
+    batch = capture.interval_rollup(capture.replayable(load_events(spark, folder)), "object_name")
+    assert sorted(rows) == sorted(batch.select("object_name", "start_time", "end_time", "count_executions",
+                                               "avg_duration").collect())
+    assert sum(r.count_executions for r in rows) == 8
+
+
+def test_rollup_with_a_bound_drops_late_events(spark, folder, tmp_path):
+    events = classified_stream(stream_events(spark, folder, maxFilesPerTrigger="1"))
+    finish(to_files(rollup_stream(events, "object_name", delay="60 seconds"), f"{tmp_path}/out", f"{tmp_path}/check"))
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("start_time").collect()
     # the last interval is open until the watermark passes it
     assert [(r.start_time.minute, r.count_executions) for r in rows] == [(0, 2), (1, 1), (3, 3)]
-    assert rows[0].avg_duration == Decimal("1.5")
-    batch = capture.interval_rollup(capture.replayable(load_events(spark, folder)), "object_name").collect()
-    assert sum(r.count_executions for r in batch) == 8
