@@ -44,7 +44,7 @@ _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1_000_000)
+@lru_cache(maxsize=150_000)
 def _word_hash(word: str) -> int:
     import xxhash
 
@@ -220,6 +220,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """The rows of ``docs`` in whose text no benchmark item was found, with all their columns."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     found = contaminations(docs, benchmark, id_column, text_column, **options)
-    texts = scratch.keep(found.select("text_hash").distinct(), "texts")
+    texts = scratch.keep(found.select(F.col("text_hash").alias("__hit")).distinct(), "texts")
     marked = docs.withColumn("__text", F.xxhash64(text_column))
-    return marked.join(texts, F.col("__text") == F.col("text_hash"), "left_anti").drop("__text")
+    return marked.join(texts, F.col("__text") == F.col("__hit"), "left_anti").drop("__text")

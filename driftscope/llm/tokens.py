@@ -40,7 +40,7 @@ from driftscope.llm.scratch import Scratch
 
 MAGIC = b"FRT1"
 BLOCK_TOKENS = 1 << 18
-CACHED_PIECES = 2_000_000
+CACHED_PIECES = 800_000
 _SLICE = 1 << 24
 # white space of Unicode, then a space
 _SPACED = (r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
@@ -53,8 +53,9 @@ class PieceEncoder:
 
     A byte-level vocabulary of this kind never joins a character that isn't
     white space with a space that follows, so texts may be cut there.  The same
-    pieces come again and again; up to ``CACHED_PIECES`` are remembered.  Texts
-    with other white space before a space go to the tokenizer as they are.
+    pieces come again and again; the first ``CACHED_PIECES`` are remembered,
+    which the frequent ones are among.  Texts with other white space before a
+    space go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -68,9 +69,15 @@ class PieceEncoder:
             self.token_bytes[number] = len(token)
         self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def forget(self, keep: int = 0) -> None:
+        """Forget all pieces but the first ``keep``."""
+        if keep:
+            for piece in list(self.number)[keep:]:
+                del self.number[piece]
+            self.ids, self.size = self.ids[:int(self.size[:keep].sum())].copy(), self.size[:keep].copy()
+        else:
+            self.number: dict[str, int] = {}
+            self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """A number for each piece, which ``expand`` turns into its ids."""
@@ -120,7 +127,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array, end: int | None = None) -> list[np.ndarray]:
         """The ids of each text; null texts are empty."""
         if len(self.number) > CACHED_PIECES:
-            self.forget()
+            self.forget(CACHED_PIECES)
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
