@@ -44,6 +44,9 @@ PLAN_XML = (
     ("d = 1", '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'),
     ("d = 2", '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"><RelOp PhysicalOp="Sort" LogicalOp="Sort"/></RelOp>'),
     ("side = 'L' AND p_partkey % 4 = 0", '<RelOp PhysicalOp="Index Seek" LogicalOp="Index Seek"/>'),
+    ("side = 'H' AND p_partkey % 10 = 7", '<RelOp PhysicalOp="Index Scan" LogicalOp="Index Scan" EstimatedExecutionMode="Batch"/>'),
+    ("side = 'L' AND p_partkey % 10 = 3", '<RelOp PhysicalOp="Table Scan" LogicalOp="Table Scan"/>'),
+    ("side = 'H' AND p_partkey % 11 = 1", '<RelOp PhysicalOp="Sort" LogicalOp="Distinct Sort"/>'),
     ("side = 'H' AND p_partkey % 5 = 0", '<RelOp PhysicalOp="Hash Match" LogicalOp="Aggregate"/>'),
     ("side = 'L' AND p_partkey % 5 = 1", '<RelOp PhysicalOp="Hash Match" LogicalOp="Inner Join"/>'),
     ("side = 'H' AND p_partkey % 4 = 1", '<RelOp PhysicalOp="Merge Join" LogicalOp="Inner Join"/>'),
@@ -67,7 +70,8 @@ PLAN_XML = (
     ("p_size % 8 = 1", '<MemoryGrantInfo GrantedMemory="1024"/>'),
     ("p_size % 8 = 2 AND side = 'H'", '<MemoryGrantInfo GrantedMemory="2048" RequestedMemory="4096" UsedMemory="512"/>'),
     ("p_size % 8 = 2 AND side = 'L'", '<MemoryGrantInfo GrantedMemory="1024" RequestedMemory="2048" UsedMemory="256"/>'),
-    ("p_size % 8 > 2", '<MemoryGrantInfo GrantedMemory="4096"/>'),
+    ("p_size % 8 > 2 AND side = 'L'", '<MemoryGrantInfo GrantedMemory="4096"/>'),
+    ("p_size % 8 > 2 AND side = 'H'", '<MemoryGrantInfo GrantedMemory="8192"/>'),
     ("p_size % 2 = 0", '<MemoryGrantInfo GrantedMemory="77" RequestedMemory="88" UsedMemory="99"/>'),
     ("p_partkey % 89 <> 0", "</ShowPlanXML>"),  # the others end too early
 )
