@@ -6,7 +6,7 @@ group depends on the size of the table.  In a group every dimension has a list
 of its candidates sorted by value.  A query reads all lists from the end its own
 component favours, looks up the whole vector of whatever it meets, and stops
 when the best score an unseen candidate could have, the inner product with the
-values it has come to, is below its k-th score.  Scores and ties are exact, also
+values it has come to, is below its k-th score, or when none is unseen.  Scores and ties are exact, also
 where vectors are so alike that a query has to read its lists to the end.
 
 Vectors that are null or hold a null or non-finite component take no part, nor
@@ -26,7 +26,7 @@ from driftscope.llm.scratch import Scratch
 
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 2048
-FIRST_DEPTH = 16
+FIRST_DEPTH, DEEPER = 64, 4
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -74,14 +74,14 @@ def threshold_top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
             done |= seen
             met = np.flatnonzero(done)
             met = met[met != own]
-            if depth == n:
+            if depth == n or done.all():
                 break
             if len(met) >= k:
                 last = np.partition(score[met], len(met) - k)[len(met) - k] if kind is np.float64 else \
                     sorted(score[met])[-k]
                 if ordered[n - depth, up] @ query[up] + ordered[depth - 1, down] @ query[down] < last:
                     break
-            depth = min(depth * 2, n)
+            depth = min(depth * DEEPER, n)
         if len(met) > k and kind is np.float64:
             last = np.partition(score[met], len(met) - k)[len(met) - k]
             met = met[score[met] >= last]
