@@ -34,7 +34,7 @@ from driftscope.llm.scratch import ship_package
 
 STRETCH = 256
 _FAR_LETTER = 0x3400  # stands for letters beyond the basic plane, which no automaton has
-_CHARS = 1 << 22
+_CHARS = 1 << 21
 UNKNOWN = "und"
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from driftscope.llm.components import components
 from driftscope.llm.scratch import Scratch
 
-BUCKET_VARIANTS = 4_000_000
+BUCKET_VARIANTS = 2_000_000
 _CHUNK = 1 << 16
 
 
@@ -143,8 +143,10 @@ def bucket_links(bucket: int, prints: np.ndarray, rows: list[int], radius: int)
     if not variants:
         return prints[:0], prints[:0]
     variant, owner = np.concatenate(variants), np.concatenate(owners)
+    del variants, owners
     order = np.argsort(variant)
     variant, owner = variant[order], owner[order]
+    del order
     same = variant[1:] == variant[:-1]
     shared = np.zeros(len(variant), bool)
     shared[1:] |= same

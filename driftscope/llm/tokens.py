@@ -40,8 +40,8 @@ from driftscope.llm.scratch import Scratch
 
 MAGIC = b"FRT1"
 BLOCK_TOKENS = 1 << 18
-CACHED_PIECES = 800_000
-_SLICE = 1 << 24
+CACHED_PIECES = 600_000
+_SLICE = 1 << 23
 # white space of Unicode, then a space
 _SPACED = (r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
 
