@@ -25,7 +25,7 @@ Repeated rows stay repeated in ``near_duplicates``; ``deduplicate`` keeps one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -217,17 +217,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, with all their columns.
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, with all their columns."""
+    return keep_first(docs, near_duplicates, id_column, text_column, **options)
+
+
+def keep_first(docs: DataFrame, find: Callable[..., DataFrame], id_column: str, text_column: str, **options) -> DataFrame:
+    """Of each component that ``find`` gives the row with the smallest id.
 
     Rows without an id come last.  Rows with equal ids in a component are told
     apart by a hash of the whole row; of fully equal rows one stays.
     """
     scratch = Scratch(docs.sparkSession, "deduplicate")
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    found = near_duplicates(docs.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
-                                                 row_hash.alias("h")).alias("doc_id"),
-                                        F.col(text_column).alias("text")), words=options.pop("words", 3),
-                            scratch=scratch, **options)
+    found = find(docs.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                                      row_hash.alias("h")).alias("doc_id"),
+                             F.col(text_column).alias("text")), scratch=scratch, **options)
     # a component's id is the least (id, hash) pair, so it names the row that stays
     stays = scratch.keep(found.groupBy("component_id").agg(F.count("*").alias("n")).select("component_id.*"), "stays")
     named = docs.withColumns({"__id": F.col(id_column), "__h": row_hash})
