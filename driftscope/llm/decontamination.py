@@ -38,7 +38,7 @@ from driftscope.llm.scratch import Scratch
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 22
 MAX_SHINGLES = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)

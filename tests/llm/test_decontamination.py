@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -71,3 +72,18 @@ def test_decontaminate(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 7]
     assert dc.decontaminate(none, benchmark).count() == 0
     assert dc.decontaminate(odd, benchmark.where("false")).count() == len(ROWS)
+
+
+def test_radius_loses_nothing_at_the_similarity():
+    """Items with one or two words replaced: exact similarity decides, not the distance of the fingerprints."""
+    pick, far, most = random.Random(3), 0, 0
+    for n in range(4000):
+        item = [f"w{pick.randrange(10**6)}" for _ in range(pick.randrange(15, 60))]
+        other = list(item)
+        for _ in range(1 + n % 2):
+            other[pick.randrange(len(other))] = "other"
+        (_, a), (_, b) = (dc.shingle_hashes(" ".join(x)) for x in (item, other))
+        if dc._similarity(a.tolist(), b.tolist()) >= dc.SIMILARITY:
+            one, two = (int(dc._fingerprints(dc._bits(x).sum(axis=0)[None, :], len(x))[0]) for x in (a, b))
+            far, most = far + ((one ^ two).bit_count() > 15), max(most, (one ^ two).bit_count())
+    assert far > 0 and most <= dc.RADIUS
