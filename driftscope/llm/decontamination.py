@@ -1,8 +1,8 @@
 """Benchmark items in documents, by SimHash windows as long as the items.
 
 A window of a document, as many words long as a benchmark item, gets a SimHash
-of its five-word shingles.  Windows meet the items of their length in an
-equi-join on blocks of the fingerprint: with one block more than the radius has
+of its five-word shingles.  Windows meet the items of the length they were
+taken for in an equi-join on blocks of the fingerprint: with one block more than the radius has
 bits, two fingerprints within the radius agree in at least one block.  Pairs
 within the radius are verified by the exact similarity of their shingles,
 weighted by how often each occurs: sum of the smaller counts over sum of the
@@ -11,7 +11,8 @@ larger.
 Most windows need no fingerprint: two windows of n shingles that are alike to
 the degree s share at least 2ns / (1 + s) of them, so only windows with that
 many shingles of items of their length are taken.  This drops no pair that would
-pass.  The shingles of the items are sent to the tasks, at most ``MAX_SHINGLES``
+pass.  A document shorter than an item is one window, tried for every length of
+items that have at most 1 / s of its shingles.  The shingles of the items are sent to the tasks, at most ``MAX_SHINGLES``
 at a time; a larger benchmark is worked through in slices, with one pass over
 the documents for each.
 
@@ -74,9 +75,9 @@ def _fingerprints(ones: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=-1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def needed(n: int, similarity: float) -> int:
-    """How many of its n shingles a window must share with an item of as many."""
-    return max(1, math.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
+def needed(n: int, similarity: float, item: int | None = None) -> int:
+    """How many of its n shingles a window must share with an item of as many, or of ``item`` ones."""
+    return max(1, math.ceil((n + (n if item is None else item)) * similarity / (1 + similarity) - 1e-9))
 
 
 class ItemIndex:
@@ -90,7 +91,7 @@ class ItemIndex:
         self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def windows(self, text: str | None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(first word, words, fingerprint, shingles) of the windows that may be like an item."""
+        """(first word, words of the item, fingerprint, shingles) of the windows that may be like an item."""
         count, own = shingle_hashes(text, self.words)
         if not len(own) or not len(self.hashes):
             return
@@ -104,11 +105,17 @@ class ItemIndex:
         place, length = at[number], self.lengths[entry]
         for words in np.unique(length).tolist():
             n = max(1, words - self.words + 1)
-            if words > count or (words < self.words and count != words):
+            if words < self.words and count != words:
                 continue
             hit = np.zeros(len(own) + 1, np.int64)
             hit[place[length == words] + 1] = 1
             so_far = np.cumsum(hit)
+            if words > count:
+                # the item is longer than the document, which is then the one window
+                if len(own) >= self.similarity * n - 1e-9 and so_far[-1] >= needed(len(own), self.similarity, n):
+                    ones = _bits(own).sum(axis=0, dtype=np.int64)[None, :]
+                    yield 0, words, int(_fingerprints(ones, len(own))[0]), own
+                continue
             start = np.flatnonzero(so_far[n:] - so_far[:-n] >= needed(n, self.similarity))
             # neighbouring windows share their bits
             for run in np.split(start, np.flatnonzero(np.diff(start) > n) + 1):

@@ -74,6 +74,36 @@ def test_decontaminate(spark, odd, none):
     assert dc.decontaminate(odd, benchmark.where("false")).count() == len(ROWS)
 
 
+def brute_of_shorter(docs, items, least=0.8):
+    """Documents of fewer words than an item, each as one window."""
+    best = {}
+    for doc, text in docs:
+        for item, passage in items:
+            w, p = words(text), words(passage)
+            if w and len(w) < len(p):
+                a, b = shingles(w), shingles(p)
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s >= least:
+                    best[doc, item] = (s, 0)
+    return best
+
+
+def test_documents_shorter_than_items(spark):
+    items = ITEMS[:6]
+    docs = [(n, " ".join(words(ITEM)[a:30 - b])) for n, (a, b) in enumerate(
+        (a, b) for a in range(5) for b in range(5))]
+    docs += [(50, REPEATED[:-6]), (51, "six words make two shingles"), (52, "short"), (53, None),
+             (54, " ".join(words(ITEM)[:28] + ["other"]))]
+    expected = brute(docs, items)
+    for key, value in brute_of_shorter(docs, items).items():
+        assert expected.setdefault(key, value) == value
+    assert len(expected) > 15
+    assert found(spark, docs, items) == expected
+    kept = dc.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                            spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {d for d, _ in expected})
+
+
 def test_radius_loses_nothing_at_the_similarity():
     """Items with one or two words replaced: exact similarity decides, not the distance of the fingerprints."""
     pick, far, most = random.Random(3), 0, 0
