@@ -61,7 +61,8 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     ranges = warc.write_archives(scratch, pages)
-    return warc.lookup(scratch, ranges, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+    return warc.lookup(scratch, ranges, pages.select(
+        warc.url_key(F.col("url")).alias("key"), "page_id", warc.payload_digest(F.col("html")).alias("digest")))
 
 
 #: (verdict, host, path)

@@ -1,16 +1,16 @@
 """WARC archives with a two-level capture index.
 
-Pages are dealt into ranges of their reversed-host URL keys (``org,example)/x``)
-and ids, and each range becomes three files:
+Pages are dealt into ranges of their reversed-host URL keys (``org,example)/x``),
+ids and payload digests, and each range becomes three files:
 
 * ``NAME.warc.gz``: the records, each a gzip member of its own;
 * ``NAME.cdx.gz``: the captures in key order, ``INDEX_BLOCK`` lines to a gzip
-  member: key, id, offset and length of the record, kind;
-* ``NAME.dir``: the sparse directory, one line per block: its first key and id,
-  offset and length.
+  member: key, id, digest, offset and length of the record, kind;
+* ``NAME.dir``: the sparse directory, one line per block: its first key, id and
+  digest, offset and length.
 
 The table that ``write_archives`` returns has one row per range with its first
-key.  A lookup searches that list, the directory and the block by bisection and
+key, id and digest.  A lookup searches that list, the directory and the block by bisection and
 then reads the record's bytes alone, or ahead, as keys come in order.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with
@@ -18,7 +18,8 @@ the smallest id is a response; the others are revisits without a body, whose
 HTTP header keeps the payload's length.  Where several rows share that smallest
 id and payload, all of them are responses.  Rows without an id come after all
 others.  Null html is an empty payload, a null URL an empty key.  Repeated rows
-are repeated records, and each is found again.
+are repeated records, and each is found again.  Rows of one key and id may lie in
+several ranges: a digest says in which, and without one all are searched.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import hashlib
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,11 @@ DATE = "2000-01-01T00:00:00Z"
 _ID = "urn:driftscope:page:"
 
 
+def payload_digest(html: Column) -> Column:
+    """SHA-256 of the payload in hex."""
+    return F.sha2(F.coalesce(html, F.lit("")).cast("binary"), 256)
+
+
 def url_key(url: Column) -> Column:
     """Labels of the host from last to first, then the rest of the URL; without white space and controls."""
     host, _ = split_url(url)
@@ -112,14 +119,14 @@ class _Writer:
     def __init__(self, folder: str, name: str):
         self.archive, self.index, self.directory = (NewFile(f"{folder}/{name}.{x}") for x in ("warc.gz", "cdx.gz", "dir"))
         self.lines: list[str] = []
-        self.first: tuple[str, str] | None = None
+        self.first: tuple[str, str, str] | None = None
         self.records = 0
 
-    def add(self, key: str, page_id: int | None, data: bytes, kind: str) -> None:
+    def add(self, key: str, page_id: int | None, data: bytes, kind: str, digest: str = "") -> None:
         member = _member(data)
         number = "" if page_id is None else str(page_id)
-        self.first = self.first or (key, number)
-        self.lines.append(f"{key}\t{number}\t{self.archive.size}\t{len(member)}\t{kind}")
+        self.first = self.first or (key, number, digest)
+        self.lines.append(f"{key}\t{number}\t{digest}\t{self.archive.size}\t{len(member)}\t{kind}")
         self.archive.write(member)
         self.records += 1
         if len(self.lines) == INDEX_BLOCK:
@@ -128,8 +135,8 @@ class _Writer:
     def block(self) -> None:
         if self.lines:
             member = gzip.compress("\n".join(self.lines).encode(), LEVEL, mtime=0)
-            key, number = self.lines[0].split("\t")[:2]
-            self.directory.write(f"{key}\t{number}\t{self.index.size}\t{len(member)}\n".encode())
+            key, number, digest = self.lines[0].split("\t")[:3]
+            self.directory.write(f"{key}\t{number}\t{digest}\t{self.index.size}\t{len(member)}\n".encode())
             self.index.write(member)
             self.lines.clear()
 
@@ -144,7 +151,7 @@ def captures(scratch: Scratch, pages: DataFrame, id_column: str, url_column: str
     payload = F.coalesce(F.col(html_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).alias("url"),
                         url_key(F.col(url_column)).alias("key"), payload.alias("html"),
-                        F.sha2(payload, 256).alias("digest"))
+                        payload_digest(F.col(html_column)).alias("digest"))
     long = rows.where(F.octet_length("html") >= REVISIT_BYTES)
     first = long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     # written, so that its size is known when it is joined with the payloads
@@ -155,7 +162,7 @@ def captures(scratch: Scratch, pages: DataFrame, id_column: str, url_column: str
 
 def write_archives(scratch: Scratch, pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
                    html_column: str = "html") -> DataFrame:
-    """Write archives and index; ``name, first_key, first_id, records`` of each range."""
+    """Write archives and index; ``name, first_key, first_id, first_digest, records`` of each range."""
     folder = f"{scratch.path}/archives"
     rows = captures(scratch, pages, id_column, url_column, html_column)
     by = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("digest")]
@@ -171,21 +178,21 @@ def write_archives(scratch: Scratch, pages: DataFrame, id_column: str = "page_id
                     writer = _Writer(folder, name)
                 refers = row["refers_to"]
                 writer.add(row["key"], row["page_id"], record(row["page_id"], row["url"], row["html"], row["digest"], refers),
-                           "response" if refers is None else "revisit")
+                           "response" if refers is None else "revisit", row["digest"])
         if writer is not None:
             writer.finish()
             yield pa.RecordBatch.from_pylist([{"name": name, "first_key": writer.first[0], "first_id": writer.first[1],
-                                               "records": writer.records}])
+                                               "first_digest": writer.first[2], "records": writer.records}])
 
-    return scratch.keep(dealt.mapInArrow(write, "name string, first_key string, first_id string, records bigint"),
-                        "ranges")
+    return scratch.keep(dealt.mapInArrow(write, "name string, first_key string, first_id string, first_digest string, "
+                                                "records bigint"), "ranges")
 
 
 # ---- lookup ---------------------------------------------------------------------------------------------------------
 
-def _place(key: str, number: str) -> tuple[bytes, int, int]:
-    """Order of captures: key by code point, captures without an id first."""
-    return key.encode(), int(bool(number)), int(number or 0)
+def _place(key: str, number: str, digest: str = "") -> tuple[bytes, int, int, str]:
+    """Order of captures: key by code point, captures without an id first, then digests."""
+    return key.encode(), int(bool(number)), int(number or 0), digest
 
 
 class _Reader:
@@ -203,11 +210,11 @@ class _Reader:
 
 
 class CaptureIndex:
-    """Finds captures by key and id; keeps the last range and the last block."""
+    """Finds captures by key, id and digest; keeps the last range and the last block."""
 
-    def __init__(self, folder: str, ranges: list[tuple[str, str, str]]):
+    def __init__(self, folder: str, ranges: list[tuple[str, ...]]):
         self.folder = folder
-        self.ranges = sorted((_place(k, n), name) for k, n, name in ranges)
+        self.ranges = sorted((_place(*first), name) for *first, name in ranges)
         self.name, self.block = "", -1
 
     def _open(self, name: str) -> None:
@@ -216,7 +223,7 @@ class CaptureIndex:
             self.archive, self.index = (_Reader(f"{self.folder}/{name}.{x}") for x in ("warc.gz", "cdx.gz"))
             with open_file(f"{self.folder}/{name}.dir") as source:
                 lines = source.read_at(source.size(), 0).decode().splitlines()
-            self.directory = [(_place(k, n), int(a), int(b)) for k, n, a, b in (x.split("\t") for x in lines)]
+            self.directory = [(_place(k, n, d), int(a), int(b)) for k, n, d, a, b in (x.split("\t") for x in lines)]
             self.starts = [x[0] for x in self.directory]
 
     def _load(self, block: int) -> None:
@@ -224,55 +231,54 @@ class CaptureIndex:
             _, offset, length = self.directory[block]
             rows = [x.split("\t") for x in gzip.decompress(self.index.read(offset, length)).decode().split("\n")]
             self.block, self.rows = block, rows
-            self.places = [_place(x[0], x[1]) for x in rows]
-
-    def find(self, key: str, number: str, skip: int = 0) -> bytes | None:
-        """The record of the capture, or of the next ones with the same key and id; None if there is none."""
-        place = _place(key, number)
-        at = bisect_right(self.ranges, place, key=lambda r: r[0]) - 1
-        if at < 0:
-            return None
-        self._open(self.ranges[at][1])
-        block = max(0, bisect_left(self.starts, place) - 1)
-        self._load(block)
-        line = bisect_left(self.places, place)
-        while True:
-            if line >= len(self.rows):
-                block += 1
-                if block >= len(self.directory):
-                    return None
+            self.places = [_place(x[0], x[1], x[2]) for x in rows]
+
+    def captures(self, key: str, number: str, digest: str | None = None) -> Iterator[bytes]:
+        """The records of all captures with the key and id, and the digest if one is given."""
+        place = _place(key, number, digest or "")
+        wanted = place[:3] if digest is None else place
+        for at in range(max(0, bisect_right(self.ranges, place, key=lambda r: r[0]) - 1), len(self.ranges)):
+            first, name = self.ranges[at]
+            if first[:len(wanted)] > wanted:
+                return
+            self._open(name)
+            for block in range(max(0, bisect_left(self.starts, place) - 1), len(self.directory)):
                 self._load(block)
-                line = 0
-                continue
-            if self.places[line] != place:
-                return None
-            if not skip:
-                _, _, offset, length, _ = self.rows[line]
-                return gzip.decompress(self.archive.read(int(offset), int(length)))
-            skip -= 1
-            line += 1
+                for line in range(bisect_left(self.places, place), len(self.rows)):
+                    if self.places[line][:len(wanted)] != wanted:
+                        return
+                    _, _, _, offset, length, _ = self.rows[line]
+                    yield gzip.decompress(self.archive.read(int(offset), int(length)))
+
+    def find(self, key: str, number: str, skip: int = 0, digest: str | None = None) -> bytes | None:
+        """The record of the capture, or of the next ones with the same place; None if there is none."""
+        return next(islice(self.captures(key, number, digest), skip, None), None)
 
 
 def lookup(scratch: Scratch, ranges: DataFrame, wanted: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records for rows of ``key, page_id``: what ``parse_record`` gives; wanted rows without a capture give none.
 
+    A ``digest`` in the rows tells captures of one key and id apart, so that many of them are read by many tasks.
+
     The list of ranges, one short row per archive, goes to every task.
     """
     folder = f"{scratch.path}/archives"
-    known = [(r["first_key"], r["first_id"], r["name"]) for r in ranges.select("first_key", "first_id", "name").collect()]
-    by = [F.col("key"), F.col("page_id").asc_nulls_first()]
+    known = [tuple(r) for r in ranges.select("first_key", "first_id", "first_digest", "name").collect()]
+    digest = F.col("digest") if "digest" in wanted.columns else F.lit(None).cast("string").alias("digest")
+    by = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("digest")]
     parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = wanted.select("key", "page_id").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    dealt = wanted.select("key", "page_id", digest).repartitionByRange(parts, *by).sortWithinPartitions(*by)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, last, again = CaptureIndex(folder, known), None, 0
+        index, last, records = CaptureIndex(folder, known), None, iter(())
         for batch in batches:
             found, size = {c: [] for c in columns}, 0
-            for key, page_id in zip(batch["key"].to_pylist(), batch["page_id"].to_pylist()):
-                again = again + 1 if (key, page_id) == last else 0
-                last = (key, page_id)
-                data = index.find(key, "" if page_id is None else str(page_id), again)
+            for place in zip(*(batch[c].to_pylist() for c in ("key", "page_id", "digest"))):
+                if place != last:  # repeated rows get the next records
+                    key, page_id, which = last = place
+                    records = index.captures(key, "" if page_id is None else str(page_id), which)
+                data = next(records, None)
                 if data is not None:
                     row = parse_record(data)
                     for c in columns:

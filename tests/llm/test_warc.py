@@ -74,3 +74,15 @@ def test_keys(spark):
 def test_no_pages(spark):
     scratch, ranges, wanted = archive(spark, [])
     assert ranges.count() == 0 and warc.lookup(scratch, ranges, wanted).count() == 0
+
+
+def test_place_in_several_ranges(spark):
+    """Rows without id and URL, and of one id and URL, with different html: more than a range holds."""
+    rows = [(page, url, f"<p>{n % 150}" + "x" * 100) for page, url in ((None, None), (7, "http://example.com"))
+            for n in range(200)]
+    scratch, ranges, wanted = archive(spark, rows)
+    assert ranges.groupBy("first_key", "first_id").count().where("count > 1").count() > 0
+    exact = spark.createDataFrame(rows, "page_id bigint, url string, html string").select(
+        warc.url_key(F.col("url")).alias("key"), "page_id", warc.payload_digest(F.col("html")).alias("digest"))
+    for places in (wanted, exact):
+        assert sorted((tuple(r) for r in warc.lookup(scratch, ranges, places).collect()), key=str) == expected(rows)
