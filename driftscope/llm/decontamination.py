@@ -17,7 +17,9 @@ at a time; a larger benchmark is worked through in slices, with one pass over
 the documents for each.
 
 Words are runs of letters and digits, lower-cased.  Items and windows of fewer
-words than a shingle are one shingle.  Null or wordless texts and items match
+words than a shingle are one shingle.  Such items are matched against
+whole documents only: one to four words also occur by chance within a text,
+and would not show that the benchmark leaked.  Null or wordless texts and items match
 nothing; null ids are carried along.  Repeated rows and items give repeated or,
 where ids are equal, joined results.
 """
