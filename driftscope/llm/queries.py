@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import decontamination, extraction, langid, mixing, sharding, topk, urlfilter, warc
+from driftscope.llm import decontamination, extraction, langid, lines, mixing, sharding, topk, urlfilter, warc
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -82,6 +82,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
+def op13_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_kd_shards": op2_kd_shards,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_language_id": op10_language_id,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op13_repeated_lines": op13_repeated_lines,
 }
 
 MIX_SQL = r"""
@@ -169,9 +175,29 @@ FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts
 GROUP BY page_id, host, path
 """
 
+LINES_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+    SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d
+), k AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+    SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key
+), j AS (
+    SELECT r, doc_id, line, pos, length(k.key) < 10 OR first_id IS NOT DISTINCT FROM doc_id AS stays
+    FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
     "op4_threshold_top_k": TOP_K_SQL,
     "op5_warc_index": WARC_SQL,
     "op6_url_rules": URL_SQL,
+    "op13_repeated_lines": LINES_SQL,
 }

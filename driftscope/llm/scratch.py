@@ -27,8 +27,9 @@ class Scratch:
         self.spark, self.path = spark, work_dir(spark, purpose)
         ship_package(spark)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write a table, in one folder per value of ``by``, and read it back."""
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
