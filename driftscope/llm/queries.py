@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import decontamination, extraction, langid, lines, mixing, sharding, topk, urlfilter, warc
+from driftscope.llm import alignment, decontamination, extraction, langid, lines, mixing, sharding, topk, urlfilter, warc
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -82,6 +82,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scratch = Scratch(spark, "alignment")
+    index = alignment.pair_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"), scratch=scratch)
+    return alignment.scored_documents(scratch, index)
+
+
 def op13_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_language_id": op10_language_id,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_repeated_lines": op13_repeated_lines,
 }
 
