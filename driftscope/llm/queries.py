@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftscope.llm import alignment, decontamination, extraction, langid, lines, mixing, sharding, topk, urlfilter, warc
+from driftscope.llm import alignment, decontamination, extraction, langid, lines, mixing, ranked, sharding, topk, urlfilter, warc
 from driftscope.llm import tokens as token_files
 from driftscope.llm.scratch import Scratch, table
 from driftscope.llm.simhash import fingerprint_hex, near_duplicates
@@ -82,6 +82,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_language_id": op10_language_id,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op11_ranked_search": op11_ranked_search,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_repeated_lines": op13_repeated_lines,
 }
@@ -185,6 +190,30 @@ FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts
 GROUP BY page_id, host, path
 """
 
+RANKED_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), i AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), size AS (
+    SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d
+), tf AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), w AS (
+    SELECT term, floor(1000 * ln((2 * size.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, size.n
+), scored AS (
+    SELECT item_id, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * tf.n * size.n) // size.l)))))::BIGINT AS score
+    FROM i JOIN tf USING (term) JOIN w USING (term), size GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 LINES_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -209,5 +238,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_threshold_top_k": TOP_K_SQL,
     "op5_warc_index": WARC_SQL,
     "op6_url_rules": URL_SQL,
+    "op11_ranked_search": RANKED_SQL,
     "op13_repeated_lines": LINES_SQL,
 }
