@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 
 from driftscope.llm.scratch import Scratch, positions
 
-GROUPS = 512
-LEAF, TREE_DOCUMENTS, TREE_CELLS = 16, 2048, 8_000_000
+GROUPS = 4096
+LEAF, TREE_DOCUMENTS, TREE_CELLS = 8, 1024, 8_000_000
 BLOCK_BYTES = 1 << 20
 _SLICE = 2000
 # A-Z in lower case; digits, letters and all bytes beyond ASCII stay; the rest parts terms
