@@ -17,6 +17,7 @@ from contract.inputs import derived_event_stream, derived_events, derived_run, t
 from driftscope.functions.text import hex_text, normalize, statement_type, text_digest, without_parameter_block
 from driftscope.operators import capture, changes, checks
 from driftscope.operators.compare import group_names
+from driftscope.operators.daily import DailyTotals
 from driftscope.operators.dominant import dominant_pairs, dominant_plans
 from driftscope.operators.groups import GROUP
 from driftscope.operators.texts import text_features
@@ -78,6 +79,34 @@ def plan_preagg_window(spark, sf_dir):
         spark, sf_dir, start=WINDOW_START, end=WINDOW_END, include_adhoc=False, primary_replica_only=True).plan_stats)
 
 
+def _daily(spark, sf_dir) -> tuple[DailyTotals, Comparison]:
+    """Plan totals taken in by two deliveries of days that overlap."""
+    c = comparison(spark, sf_dir, None)
+    store = DailyTotals(spark, work_dir(spark, "daily-totals"))
+    first, last = table(spark, sf_dir, "lineitem").agg(
+        F.min(F.trunc("l_shipdate", "month")), F.max(F.trunc("l_shipdate", "month"))).first()
+    middle = first + (last - first) / 2
+    store.add(c.run, first, middle)
+    store.add(c.run, middle - dt.timedelta(days=100), last)
+    return store, c
+
+
+def daily_totals(spark, sf_dir):
+    store, c = _daily(spark, sf_dir)
+    return store.rows(c.run)
+
+
+def plan_stats_from_days(spark, sf_dir):
+    store, c = _daily(spark, sf_dir)
+    return _plan_columns(store.plan_stats(c.run, params()))
+
+
+def plan_stats_from_days_window(spark, sf_dir):
+    store, c = _daily(spark, sf_dir)
+    return _plan_columns(store.plan_stats(c.run, params(
+        start=WINDOW_START, end=WINDOW_END, include_adhoc=False, primary_replica_only=True)))
+
+
 def text_features_query(spark, sf_dir):
     c = comparison(spark, sf_dir, include_sp=False)
     found = text_features(c.run.query_text, c.params, c.plan_stats)
@@ -183,6 +212,18 @@ def persisted_regressions(spark, sf_dir):
         "GroupKeyHash", hex_text(F.col("GroupKeyHash")))
 
 
+def persisted_history(spark, sf_dir):
+    """Two runs kept side by side, one of them saved twice."""
+    path = work_dir(spark, "history")
+    for run, metric in (("a", "LogicalReads"), ("b", "CPU"), ("a", "LogicalReads")):
+        rows = comparison(spark, sf_dir, metric=metric).result_rows()
+        save_files(rows, path, history=True, run={"name": run, "metric": metric})
+    kept = spark.read.parquet(path)
+    return kept.groupBy("Metric", "QueryType").agg(
+        F.count("*").alias("regressions"), F.countDistinct("RunId").alias("runs"), F.sum("PlanCount_H").alias("plans"),
+        F.sum("ExecCount_H").alias("executions"))
+
+
 def step_metrics(spark, sf_dir):
     steps = Steps(spark)
     comparison(spark, sf_dir, None).timed(steps)
@@ -520,6 +561,9 @@ QUERIES: dict[str, Query] = {
     "resolve_sides": resolve_sides,
     "plan_preagg": plan_preagg,
     "plan_preagg_window": plan_preagg_window,
+    "daily_totals": daily_totals,
+    "plan_stats_from_days": plan_stats_from_days,
+    "plan_stats_from_days_window": plan_stats_from_days_window,
     "text_features": text_features_query,
     "text_dedup_documents": text_dedup_documents,
     "statement_type": statement_type_query,
@@ -548,6 +592,7 @@ QUERIES: dict[str, Query] = {
     "multi_plan_drilldown": _report("drilldown", store="plans"),
     "plan_shape_diff": _report("shape_report"),
     "persisted_regressions": persisted_regressions,
+    "persisted_history": persisted_history,
     "step_metrics": step_metrics,
     "collection_check": collection_check,
     "table_row_counts": table_row_counts,

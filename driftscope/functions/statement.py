@@ -43,6 +43,11 @@ def is_reset() -> Column:
     return _is(event_text(), RESET_STATEMENT)
 
 
+def mentions_reset() -> Column:
+    """The name of the reset procedure occurs somewhere; never NULL. Few events pass, so what costs more comes after it."""
+    return F.coalesce(F.contains(F.lower(event_text()), F.lit(RESET_NAME)), F.lit(False))
+
+
 def kind() -> Column:
     """SP for a plain procedure call, ADHOC for any other text."""
     return (
@@ -55,7 +60,7 @@ def kind() -> Column:
 
 def procedure_name(statement: Column) -> Column:
     """The second of the words between single spaces, without closing semicolons."""
-    return F.rtrim(F.get(F.split(statement, " "), 1), F.lit(";"))
+    return F.rtrim(F.get(F.split(statement, " ", 3), 1), F.lit(";"))
 
 
 def procedure_arguments(statement: Column) -> Column:

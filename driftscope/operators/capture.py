@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftscope.functions import statement as st
-from driftscope.operators.numbering import WIDTH, block_counts, block_offsets, number_rows
+from driftscope.operators.numbering import WIDTH, block, block_offsets
 from driftscope.params import ParameterError
+from driftscope.session import work_dir
 
 # What the capture and the replay can be limited to.
 COLLECT_TYPES = {
@@ -50,7 +51,7 @@ def executable(events: DataFrame) -> DataFrame:
     if not _CALL_COLUMNS <= set(events.columns):
         return events
     name = F.lower(st.procedure_name(st.event_text()))
-    return events.where(~((st.kind() == st.SP) & name.eqNullSafe(F.lit(st.RESET_NAME))))
+    return events.where(~(st.mentions_reset() & (st.kind() == st.SP) & name.eqNullSafe(F.lit(st.RESET_NAME))))
 
 
 def classify(events: DataFrame) -> DataFrame:
@@ -108,11 +109,21 @@ def sequence(events: DataFrame, file: str = "file_name", created: str = "file_cr
     """Global position and cumulative share of each event, files by creation time.
 
     Within a file events keep their order, given by ``order_id``.  The percent
-    is cut to a whole number.  Besides the events themselves, shuffled once on
-    (file, block of ids), only counts are touched: per block, then per file.
+    is cut to a whole number.  The events are read, filtered and shuffled once,
+    on (file, block of ids), and written below the shared folder with their
+    position in the block; what is counted over them then reads three narrow
+    columns of that table.
     """
-    events = executable(events)
-    blocks = block_counts(events, [file], order_id, width, F.min(created).alias("_created"))
+    path = work_dir(events.sparkSession, "sequence")
+    inside = Window.partitionBy(file, "_block").orderBy(order_id)
+    dealt = executable(events).withColumn("_block", block(order_id, width)).withColumn(
+        "_inside", F.row_number().over(inside))
+    dealt.write.parquet(path)
+    dealt = events.sparkSession.read.schema(dealt.schema).parquet(path)
+    blocks = dealt.groupBy(file, "_block").agg(F.min(created).alias("_created"), F.count(F.lit(1)).alias("_rows"))
+    # one row per file and block of 2^20 ids
+    blocks.write.parquet(f"{path}-blocks")
+    blocks = events.sparkSession.read.schema(blocks.schema).parquet(f"{path}-blocks")
     in_file = block_offsets(blocks, [file], width)
     by_file = blocks.groupBy(file).agg(F.min("_created").alias("_created"), F.sum("_rows").alias("_in_file"))
     # one row per file: the only windows over everything
@@ -123,9 +134,9 @@ def sequence(events: DataFrame, file: str = "file_name", created: str = "file_cr
         F.sum("_in_file").over(Window.partitionBy()).alias("total_count"),
     )
     offsets = in_file.join(files, file).selectExpr(file, "_block", "total_count", "_before + _earlier AS _before")
-    return number_rows(events, order_id, "exec_no", [file], offsets, width).withColumn(
-        "percent", F.expr("cast(exec_no * 100 div total_count AS int)")
-    )
+    return dealt.join(offsets, [file, "_block"]).withColumn(
+        "exec_no", F.expr("cast(_inside + _before AS bigint)")).drop("_block", "_inside", "_before").withColumn(
+        "percent", F.expr("cast(exec_no * 100 div total_count AS int)"))
 
 
 def outcomes(classified: DataFrame, *by: str) -> DataFrame:

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 20
 
 
-def _block(order_id: str, width: int) -> Column:
+def block(order_id: str, width: int) -> Column:
     return F.expr(f"{order_id} div {width} AS _block")
 
 
 def block_counts(df: DataFrame, group: list[str], order_id: str, width: int = WIDTH, *more: Column) -> DataFrame:
     """Rows per group and block, with further aggregates if wanted."""
-    return df.groupBy(*group, _block(order_id, width)).agg(F.expr("count(1) AS _rows"), *more)
+    return df.groupBy(*group, block(order_id, width)).agg(F.expr("count(1) AS _rows"), *more)
 
 
 def _rows_before(group: list[str], order: str, rows: str) -> Column:
@@ -51,7 +51,7 @@ def number_rows(df: DataFrame, order_id: str, name: str = "row_number", group: l
     if offsets is None:
         offsets = block_offsets(block_counts(df, group, order_id, width), group, width)
     inside = Window.partitionBy(*group, "_block").orderBy(order_id)
-    numbered = df.withColumn("_block", _block(order_id, width)).withColumn("_inside", F.row_number().over(inside))
+    numbered = df.withColumn("_block", block(order_id, width)).withColumn("_inside", F.row_number().over(inside))
     return numbered.join(offsets, [*group, "_block"]).withColumn(
         name, F.expr("cast(_inside + _before AS bigint)")
     ).drop("_block", "_inside", "_before")

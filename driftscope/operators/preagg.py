@@ -72,32 +72,69 @@ def _totals(df: DataFrame, weigh: bool) -> list[str]:
             *[f"cast(sum(total_{m}) AS {TOTAL}) AS total_{m}" for m in ("reads", "cpu", "dur")]]
 
 
-def plan_stats(run: Run, p: CompareParams, interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
-    """Executions, weighted totals and averages, and time bounds per plan.
+def interval_bounds(interval: DataFrame) -> list[tuple[str, int, int]]:
+    """Lowest and highest id of the intervals of each side."""
+    bounds = interval.groupBy("side").agg(F.min("runtime_stats_interval_id").alias("low"),
+                                          F.max("runtime_stats_interval_id").alias("high"))
+    return [tuple(r) for r in bounds.collect()]
+
+
+def within(stats: DataFrame, bounds: list[tuple[str, int, int]]) -> DataFrame:
+    """Statistics of intervals within the bounds, a range that reaches the scan and skips files and row groups.
+
+    It holds more than the window if ids and times are not in the same order;
+    the join with the intervals decides.
+    """
+    wanted = F.lit(False)
+    for side, low, high in bounds:
+        wanted = wanted | ((F.col("side") == side) & F.col("runtime_stats_interval_id").between(low, high))
+    return stats.where(wanted)
+
+
+def plan_totals(stats: DataFrame, interval: DataFrame, *more: str, pruned: bool = False,
+                interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
+    """Executions, weighted totals and time bounds per plan and, if wanted, ``more`` columns of either table.
 
     The statistics are the one big table.  They meet only ids and bounds of the
     intervals.  Those are broadcast if Spark expects at most ``interval_bytes``
     of them, and the statistics are then aggregated where they are read, before
     any shuffle.  Beyond that, statistics are added up per plan and interval
-    first, so that what is shuffled for the join is no more than that.  Plan and
-    query rows join at plan grain afterwards.
+    first, so that what is shuffled for the join is no more than that.  With
+    ``pruned`` the bounds of the interval ids are looked up and pushed to the
+    statistics' scan.
     """
-    stats = run.runtime_stats
-    queries = included_queries(run.query, p)
-    if p.primary_replica_only:
-        stats, queries = primary_replica(stats), user_queries(queries)
-    interval = time_window(run.interval, p).select("side", "runtime_stats_interval_id", "start_time", "end_time")
+    if pruned:
+        stats = within(stats, interval_bounds(interval))
+    interval = interval.select("side", "runtime_stats_interval_id", "start_time", "end_time",
+                               *[c for c in more if c in interval.columns])
     at_once = estimated_bytes(interval) <= interval_bytes
     if at_once:
         interval = F.broadcast(interval)
     else:
-        stats = stats.groupBy("side", "plan_id", "runtime_stats_interval_id").agg(*map(F.expr, _totals(stats, True)))
+        own = [c for c in more if c in stats.columns]
+        stats = stats.groupBy("side", "plan_id", "runtime_stats_interval_id", *own).agg(*map(F.expr, _totals(stats, True)))
     timed = stats.join(interval, ["side", "runtime_stats_interval_id"])
-    totals = timed.groupBy("side", "plan_id").agg(*map(F.expr, (
+    return timed.groupBy("side", "plan_id", *more).agg(*map(F.expr, (
         *_totals(timed, at_once),
         "min(start_time) AS interval_start_min",
         "max(end_time) AS interval_end_max",
     )))
+
+
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """Partial totals of plans as one row per plan."""
+    return totals.groupBy("side", "plan_id").agg(*map(F.expr, (
+        *_totals(totals, False),
+        "min(interval_start_min) AS interval_start_min",
+        "max(interval_end_max) AS interval_end_max",
+    )))
+
+
+def of_queries(totals: DataFrame, run: Run, p: CompareParams) -> DataFrame:
+    """Plan totals with their query and averages, for the queries that are compared."""
+    queries = included_queries(run.query, p)
+    if p.primary_replica_only:
+        queries = user_queries(queries)
     plans = run.plan.select("side", "plan_id", "query_id")
     queries = queries.select("side", "query_id", "query_text_id", "object_id", "query_hash")
     return totals.join(plans, ["side", "plan_id"]).join(queries, ["side", "query_id"]).selectExpr(
@@ -106,3 +143,14 @@ def plan_stats(run: Run, p: CompareParams, interval_bytes: int = INTERVAL_BYTES)
         *[f"{weighted_average(f'total_{m}', 'sum_exec')} AS avg_{m}" for m in ("reads", "cpu", "dur")],
         "interval_start_min", "interval_end_max",
     )
+
+
+def plan_stats(run: Run, p: CompareParams, interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
+    """Executions, weighted totals and averages, and time bounds per plan.
+
+    Plan and query rows join at plan grain, after the totals.
+    """
+    stats = primary_replica(run.runtime_stats) if p.primary_replica_only else run.runtime_stats
+    totals = plan_totals(stats, time_window(run.interval, p), pruned=p.start is not None or p.end is not None,
+                         interval_bytes=interval_bytes)
+    return of_queries(totals, run, p)

@@ -156,3 +156,17 @@ def test_side_without_statistics_is_checked_too(runs):
     only_low = dataclasses.replace(run, runtime_stats=run.runtime_stats.where("side = 'L'"))
     rows = {r.side: tuple(r)[1:] for r in collection_check(only_low).collect()}
     assert rows == {"L": (20, None, 1, 0), "H": (None, None, 0, 0)}
+
+
+def test_history_of_repeated_runs(spark, runs, tmp_path):
+    rows = Comparison(runs.both(LOW, HIGH), CompareParams(min_exec=10), SIDES).result_rows()
+    path = work_dir(spark, "warehouse")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{path}'")
+    for name in "aba":
+        save_table(rows, "kept.history", history=True, run={"inputs": name, "min_exec": 10})
+        save_files(rows, f"{tmp_path}/history", history=True, run={"inputs": name, "min_exec": 10})
+    for kept in (spark.table("kept.history"), spark.read.parquet(f"{tmp_path}/history")):
+        assert sorted(r["count"] for r in kept.groupBy("RunId").count().collect()) == [2, 2]
+    save_table(rows, "kept.replaced")
+    with pytest.raises(ValueError, match="no history"):
+        save_table(rows, "kept.replaced", history=True, run={"inputs": "a"})
