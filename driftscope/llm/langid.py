@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftscope.llm.scratch import ship_package
+from driftscope.llm.scratch import give_back_memory, ship_package
 
 STRETCH = 256
 _FAR_LETTER = 0x3400  # stands for letters beyond the basic plane, which no automaton has
@@ -188,19 +188,31 @@ def predict(model: Model, texts: list[str | None]) -> pd.DataFrame:
 
 def learn(docs: DataFrame, usable: Column | None = None, id_column: str = "doc_id", text_column: str = "text",
           lang_column: str = "lang", documents_per_language: int = 48, chars_per_document: int = 1024,
-          sample_chars: int = 16384, max_languages: int = 64) -> Model:
-    """Fit on a bounded sample of the labelled rows for which ``usable`` holds."""
+          sample_chars: int = 16384, max_languages: int | None = None, full_samples: int = 64) -> Model:
+    """Fit on a bounded sample of the labelled rows for which ``usable`` holds.
+
+    Every label is learned.  Beyond ``full_samples`` labels each has a smaller
+    sample, so that all samples together stay as large.  A sample's pieces of
+    ``chars_per_document`` lie at places of the whole texts that a hash chooses.
+    ``max_languages`` keeps the most frequent labels only, if that is wanted.
+    """
     rows = docs.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"),
                        F.col(text_column).alias("text"), (F.lit(True) if usable is None else usable).alias("usable"))
     rows = rows.where("usable AND lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("id"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    common = common if max_languages is None else common.limit(max_languages)
+    labels = common.count()
+    if labels > full_samples:
+        documents_per_language = max(1, documents_per_language * full_samples // labels)
+        sample_chars = max(chars_per_document, sample_chars * full_samples // labels)
     by_hash = Window.partitionBy("lang").orderBy("h", "id")
     chosen = rows.select("lang", "h", "id").withColumn("n", F.row_number().over(by_hash)).where(
         F.col("n") <= documents_per_language)
-    # at most max_languages * documents_per_language rows
+    # at most full_samples * documents_per_language rows, or one per label
     chosen = F.broadcast(chosen.join(F.broadcast(common.select("lang")), "lang").select("lang", "h", "id", "n"))
-    sample = rows.join(chosen, ["lang", "h", "id"]).groupBy("lang", "n").agg(
-        F.min(F.substring("text", 1, chars_per_document)).alias("text"))  # of equal ids one
+    room = F.greatest(F.char_length("text") - chars_per_document, F.lit(0)) + 1
+    piece = F.substr("text", F.pmod(F.xxhash64(F.lit(1), "id"), room).cast("int") + 1, F.lit(chars_per_document))
+    sample = rows.join(chosen, ["lang", "h", "id"]).groupBy("lang", "n").agg(F.min(piece).alias("text"))  # of equal ids one
     texts: dict[str, list[str]] = {}
     for row in sample.orderBy("lang", "n").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
@@ -216,6 +228,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> Column
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield predict(shared.value, batch.tolist())
+        give_back_memory()
 
     return of(F.col(text_column))
 
@@ -226,8 +239,13 @@ def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose language can be told; labels of the same rows are what the fit learns from."""
+    """The rows whose language can be told; labels of the same rows are what the fit learns from.
+
+    Where there is no label to learn from, only texts that are null or have no letter go.
+    """
     model = learn(docs, **options)
     text = options.get("text_column", "text")
+    if not model.languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
     return docs.withColumn("__language", identify(docs, model, text)).where(
         F.col("__language.lang") != UNKNOWN).drop("__language")

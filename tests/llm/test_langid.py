@@ -81,3 +81,24 @@ def test_odd_rows(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(
         d or 0 for d, t, *_ in ROWS if t and any(c.isalpha() for c in t))
     assert langid.keep_identified(none).count() == 0
+
+
+def test_all_labels_are_learned(spark):
+    draw = random.Random(2)
+    words = [["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
+    rows = [(i, " ".join(draw.choice(words[i % 70]) for _ in range(40)), f"l{i % 70:02d}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 70
+    assert langid.predict(model, [r[1] for r in rows]).lang.tolist() == [r[2] for r in rows]
+
+
+def test_clean_documents_stay_without_labels(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "日本", None), (3, "12 3", None), (4, None, None)],
+                                 "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [1, 2]
+
+
+def test_ties_go_to_the_first_label():
+    model = langid.fit({"b": ["one two three"], "a": ["one two three"]})
+    assert langid.predict(model, ["two one", "three"]).lang.tolist() == ["a", "a"]
