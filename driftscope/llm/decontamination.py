@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftscope.llm.scratch import Scratch
+from driftscope.llm.scratch import Scratch, give_back_memory
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -197,8 +197,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
                        for d, h, text in zip(frame["doc_id"], frame["text_hash"], frame["text"])
                        for s, n, p, own in index.value.windows(text)]
                 yield pd.DataFrame(out, columns=["doc_id", "text_hash", "first_word", "words", "fingerprint", "shingles"])
+            _word_hash.cache_clear()
+            give_back_memory()
 
         windows = scratch.keep(rows.mapInPandas(scan, schema), f"windows-{number}")
+        index.unpersist()
         left = windows.select("*", cut(F.col("fingerprint")).alias("block", "value"))
         right = some.select("item_id", F.col("words").alias("item_words"), F.col("shingles").alias("item_shingles"),
                             F.col("fingerprint").alias("item_print"),

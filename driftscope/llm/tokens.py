@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftscope.llm.files import NewFile, exists, open_file, remove
-from driftscope.llm.scratch import Scratch
+from driftscope.llm.scratch import Scratch, give_back_memory
 
 MAGIC = b"FRT1"
 BLOCK_TOKENS = 1 << 18
 CACHED_PIECES = 600_000
-_SLICE = 1 << 23
+_SLICE = 1 << 22
 # white space of Unicode, then a space
 _SPACED = (r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
 
@@ -296,6 +296,7 @@ def _spool(docs: DataFrame, tokenizer: str, end: int | None, folder: str) -> Dat
             token = np.flatnonzero(count)
             yield pa.record_batch({"file": pa.array([name] * len(token)), "token": pa.array(token, pa.int64()),
                                    "n": pa.array(count[token], pa.int64())})
+        give_back_memory()
 
     return dealt.mapInArrow(spool, "file string, token bigint, n bigint")
 
