@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftscope.llm.scratch import Scratch
+from driftscope.llm.scratch import Scratch, give_back_memory
 from driftscope.llm.tokens import _SPACED
 
 SLICE_BYTES, SLICE_ROWS = 3 << 20, 4096
@@ -351,6 +351,7 @@ def pair_index(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_column: s
         if chunk.documents:
             for posted in chunk.postings():
                 yield full({k: posted[k] for k in posted.schema.names}, len(posted))
+        give_back_memory()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return scratch.keep(rows.mapInArrow(index, schema), "index")
@@ -370,7 +371,9 @@ def scored_documents(scratch: Scratch, index: DataFrame) -> DataFrame:
     counts = scratch.keep(pair_counts(index), "pairs")
     top = counts.groupBy("b").agg(F.max("links").alias("most"))
     scores = counts.join(top, "b").select("a", "b", F.col("links").alias("score"), (F.col("links") == F.col("most")).alias("best"))
-    postings = index.where("place IS NULL").select("chunk", "universe", "a", "b", "planes").join(scores, ["a", "b"])
+    postings = index.where("place IS NULL").select("chunk", "universe", "a", "b", "planes")
+    # the same plan at every size: the number of pairs has no bound, so it is never sent to all tasks
+    postings = postings.join(scores.hint("merge"), ["a", "b"])
 
     def give_back(chunk: pa.Table) -> pa.Table:
         universe = chunk["universe"][0].as_py()
