@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 from pathlib import Path
 
@@ -35,6 +36,15 @@ class Scratch:
         (df.write.partitionBy(by) if by else df.write).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def keep_in_buckets(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """The same, dealt into as many sorted buckets as a shuffle has partitions: joins on ``by`` need not move it."""
+        table, n = f"{name}_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(n, *by).sortBy(*by).saveAsTable(table)
+        kept = self.spark.table(table)
+        # the frame knows the files and buckets; the catalog need not
+        self.spark.sql(f"DROP TABLE {table}")
+        return kept
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

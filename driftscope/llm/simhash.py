@@ -232,10 +232,13 @@ def keep_first(docs: DataFrame, find: Callable[..., DataFrame], id_column: str,
     found = find(docs.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
                                       row_hash.alias("h")).alias("doc_id"),
                              F.col(text_column).alias("text")), scratch=scratch, **options)
-    # a component's id is the least (id, hash) pair, so it names the row that stays
-    stays = scratch.keep(found.groupBy("component_id").agg(F.count("*").alias("n")).select("component_id.*"), "stays")
+    # a component's id is the least (id, hash) pair, so it names the row that stays; __n rows are equal to it
+    stays = scratch.keep(found.groupBy("component_id").agg(
+        F.count_if(F.col("doc_id") == F.col("component_id")).alias("__n")).select("component_id.*", "__n"), "stays")
     named = docs.withColumns({"__id": F.col(id_column), "__h": row_hash})
     kept = named.alias("d").join(stays.alias("s"), F.col("d.__id").eqNullSafe(F.col("s.id"))
-                                 & (F.col("d.__h") == F.col("s.h")), "left_semi")
+                                 & (F.col("d.__h") == F.col("s.h"))).select("d.*", "s.__n")
+    # only repeated rows are moved again
     once = Window.partitionBy("__id", "__h").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__id", "__h", "__n")
+    first = kept.where("__n > 1").withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
+    return kept.where("__n = 1").unionByName(first).drop("__id", "__h", "__n")
