@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_registered():
     queries = contract.queries()
     assert set(QUERIES) <= set(queries) and queries["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near-duplicates", "decontamination", "mixing", "token-ids"]
 
 
