@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math object".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav noscript ol "
-    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+    "optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
 _ENDS_PARAGRAPH = _BLOCK - {"button", "label", "option", "optgroup", "select", "noscript"}
 #: a start tag closes an open element of the first kind, unless one of the second stands in between
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -46,7 +46,8 @@ def blocks(page: str) -> list[Block]:
 
     A block ends where a block element begins or ends.  Elements that may be
     left open are closed as browsers do it.  Scripts, styles, titles, other raw
-    text and comments are no text.
+    text and comments are no text; without an end tag they reach to the end of
+    the page.  Drawings, formulas, objects and templates are elements like others.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []

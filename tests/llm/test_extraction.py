@@ -17,6 +17,9 @@ def model():
     ("<STYLE>p{}</style ><title>t</title><div>a &#xe9; &unknown; &lt</DIV>", ["a é &unknown; <"]),
     ("a < b <3 <p", ["a < b <3"]), ("</p></div>x</nav>", ["x"]), ("<p></p> \n ", []), ("", []),
     ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<script>never closed <p>x", []),
+    ("<article><p>one</p><svg>\u2026<p>two</p></article>", ["one", "\u2026", "two"]), ("a <math>x</math> b", ["a x b"]),
+    ("<object>fallback</object>", ["fallback"]), ("<template><p>a</template>b<svg/>c", ["a", "bc"]),
+    ("<p>one<object data=x><p>two<math><mi>y</mi>", ["one", "twoy"]),
 ])
 def test_blocks(page, texts):
     assert [b.text for b in blocks(page)] == texts
