@@ -10,16 +10,18 @@ larger.
 
 Most windows need no fingerprint: two windows of n shingles that are alike to
 the degree s share at least 2ns / (1 + s) of them, so only windows with that
-many shingles of items of their length are taken.  This drops no pair that would
-pass.  A document shorter than an item is one window, tried for every length of
+many shingles of items of their length are taken, and each meets only the items
+with which it shares that many.  This drops no pair that would pass, and keeps
+the blocks, of two or three bits each at this radius, from pairing a window
+with every item of its length.  A document shorter than an item is one window, tried for every length of
 items that have at most 1 / s of its shingles.  The shingles of the items are sent to the tasks, at most ``MAX_SHINGLES``
-at a time; a larger benchmark is worked through in slices, with one pass over
+at a time (or those of one item, if it has more); a larger benchmark is worked through in slices, with one pass over
 the documents for each.
 
-Words are runs of letters and digits, lower-cased.  Items and windows of fewer
-words than a shingle are one shingle.  Such items are matched against
-whole documents only: one to four words also occur by chance within a text,
-and would not show that the benchmark leaked.  Null or wordless texts and items match
+Words are runs of letters and digits, lower-cased.  Items of fewer words than a
+shingle are one shingle and are found wherever their words follow one another;
+``least_words`` keeps items of fewer words to documents that are nothing else.
+Null or wordless texts and items match
 nothing; null ids are carried along.  Repeated rows and items give repeated or,
 where ids are equal, joined results.
 """
@@ -54,19 +56,25 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 0)
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """The number of words, and a 64-bit hash of each run of ``words`` words."""
-    found = _WORD.findall((text or "").lower())
-    if not found:
-        return 0, np.zeros(0, np.uint64)
-    single = np.fromiter(map(_word_hash, found), np.uint64, len(found))
-    size = min(words, len(single))
-    n = len(single) - size + 1
+def _runs(single: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    n = max(0, len(single) - size + 1)
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out = (out ^ single[k:k + n]) * _MIX
         out ^= out >> np.uint64(29)
-    return len(single), out
+    return out
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    found = _WORD.findall((text or "").lower())
+    return np.fromiter(map(_word_hash, found), np.uint64, len(found))
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """The number of words, and a 64-bit hash of each run of ``words`` words."""
+    single = _word_hashes(text)
+    return len(single), _runs(single, min(words, len(single))) if len(single) else single
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -83,20 +91,41 @@ def needed(n: int, similarity: float, item: int | None = None) -> int:
 
 
 class ItemIndex:
-    """Which shingles occur in items of which lengths (in words)."""
-
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, words: int, similarity: float):
-        order = np.lexsort((lengths, hashes))
-        self.hashes, self.lengths = hashes[order], lengths[order]
-        self.words, self.similarity = words, similarity
+    """Which shingles occur in which items, which have so many words each."""
+
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, items: np.ndarray, words: int, similarity: float,
+                 least_words: int = 1):
+        self.words, self.similarity, self.least_words = words, similarity, least_words
+        short = lengths < words
+        self.short = {n: (hashes[lengths == n], items[lengths == n]) for n in np.unique(lengths[short]).tolist()}
+        # by shingle and length, then item: one entry of the first index leads to a stretch of items
+        hashes, lengths, items = hashes[~short], lengths[~short], items[~short]
+        order = np.lexsort((items, lengths, hashes))
+        hashes, lengths, self.items = hashes[order], lengths[order], items[order]
+        first = np.ones(len(hashes), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (lengths[1:] != lengths[:-1])
+        self.first = np.append(np.flatnonzero(first), len(hashes))
+        self.hashes, self.lengths = hashes[first], lengths[first]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def windows(self, text: str | None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(first word, words of the item, fingerprint, shingles) of the windows that may be like an item."""
-        count, own = shingle_hashes(text, self.words)
-        if not len(own) or not len(self.hashes):
+    def windows(self, text: str | None) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+        """(first word, words of the item, item, fingerprint, shingles) of the windows that may be like an item."""
+        single = _word_hashes(text)
+        if not len(single):
             return
+        for words, (hashes, items) in self.short.items():
+            if words == len(single) or self.least_words <= words < len(single):
+                runs, start = np.unique(_runs(single, words), return_index=True)
+                place = np.searchsorted(runs, hashes)
+                place[place == len(runs)] = 0
+                for k in np.flatnonzero(runs[place] == hashes).tolist():
+                    own = hashes[k:k + 1]
+                    yield int(start[place[k]]), words, int(items[k]), int(own[0]), own
+        if len(self.hashes):
+            yield from self._long(len(single), _runs(single, min(self.words, len(single))))
+
+    def _long(self, count: int, own: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
         at = np.flatnonzero(self.maybe[(own >> np.uint64(42)).astype(np.int64)])
         low = np.searchsorted(self.hashes, own[at], "left")
         high = np.searchsorted(self.hashes, own[at], "right")
@@ -106,28 +135,47 @@ class ItemIndex:
         entry = np.arange(len(number)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[number]
         place, length = at[number], self.lengths[entry]
         for words in np.unique(length).tolist():
-            n = max(1, words - self.words + 1)
-            if words < self.words and count != words:
-                continue
-            hit = np.zeros(len(own) + 1, np.int64)
-            hit[place[length == words] + 1] = 1
-            so_far = np.cumsum(hit)
+            n = words - self.words + 1
+            mine = length == words
+            places, entries = place[mine], entry[mine]
             if words > count:
                 # the item is longer than the document, which is then the one window
-                if len(own) >= self.similarity * n - 1e-9 and so_far[-1] >= needed(len(own), self.similarity, n):
-                    ones = _bits(own).sum(axis=0, dtype=np.int64)[None, :]
-                    yield 0, words, int(_fingerprints(ones, len(own))[0]), own
+                least = needed(len(own), self.similarity, n)
+                if len(own) >= self.similarity * n - 1e-9 and len(places) >= least:
+                    one = int(_fingerprints(_bits(own).sum(axis=0, dtype=np.int64)[None, :], len(own))[0])
+                    for item, _ in self._shared(places, entries, least):
+                        yield 0, words, item, one, own
                 continue
-            start = np.flatnonzero(so_far[n:] - so_far[:-n] >= needed(n, self.similarity))
+            least = needed(n, self.similarity)
+            hit = np.zeros(len(own) + 1, np.int64)
+            hit[places + 1] = 1
+            so_far = np.cumsum(hit)
+            start = np.flatnonzero(so_far[n:] - so_far[:-n] >= least)
             # neighbouring windows share their bits
             for run in np.split(start, np.flatnonzero(np.diff(start) > n) + 1):
                 if len(run):
-                    first = int(run[0])
-                    ones = np.zeros((int(run[-1]) + n - first + 1, 64), np.int64)
-                    np.cumsum(_bits(own[first:int(run[-1]) + n]), axis=0, out=ones[1:])
+                    first, end = int(run[0]), int(run[-1]) + n
+                    ones = np.zeros((end - first + 1, 64), np.int64)
+                    np.cumsum(_bits(own[first:end]), axis=0, out=ones[1:])
                     prints = _fingerprints(ones[run - first + n] - ones[run - first], n)
-                    for s, p in zip(run.tolist(), prints.tolist()):
-                        yield s, words, p, own[s:s + n]
+                    a, b = np.searchsorted(places, [first, end])
+                    for item, met in self._shared(places[a:b], entries[a:b], least):
+                        with_item = np.searchsorted(met, run + n) - np.searchsorted(met, run)
+                        for k in np.flatnonzero(with_item >= least).tolist():
+                            s = int(run[k])
+                            yield s, words, item, int(prints[k]), own[s:s + n]
+
+    def _shared(self, places: np.ndarray, entries: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that hold the shingles of at least so many of the places, each with these places in order."""
+        size = self.first[entries + 1] - self.first[entries]
+        place = np.repeat(places, size)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[entries], size)
+        items = self.items[at]
+        order = np.argsort(items, kind="stable")  # places stay in order within an item
+        items, place = items[order], place[order]
+        edge = np.append(np.flatnonzero(np.diff(items, prepend=items[:1] - 1)), len(items))
+        for k in np.flatnonzero(np.diff(edge) >= least).tolist():
+            yield int(items[edge[k]]), place[edge[k]:edge[k + 1]]
 
 
 def _similarity(a: list[int], b: list[int]) -> float:
@@ -161,9 +209,22 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, (1 << b - a) - 1) for a, b in zip(edge, edge[1:])]
 
 
+def _slices(items: DataFrame, max_shingles: int) -> tuple[int, list[int]]:
+    """Into how many slices the items go for each to have so many shingles at most, or one item; which are not empty."""
+    known = items.select("item", F.size("shingles").alias("n")).distinct()
+    slices = -(-(known.agg(F.sum("n")).first()[0] or 0) // max_shingles) or 1
+    while True:
+        of = known.groupBy(F.pmod("item", F.lit(slices)).alias("slice")).agg(
+            F.sum("n").alias("n"), F.count_distinct("item").alias("items"))
+        numbers = of.select("slice", ((F.col("n") > max_shingles) & (F.col("items") > 1)).alias("full")).collect()
+        if not any(row.full for row in numbers):
+            return slices, sorted(row.slice for row in numbers)
+        slices *= 2
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS,
-                   max_shingles: int = MAX_SHINGLES) -> DataFrame:
+                   max_shingles: int = MAX_SHINGLES, least_words: int = 1) -> DataFrame:
     """``doc_id, text_hash, item_id, similarity, first_word`` of every item found in a document.
 
     A document has one row for each item that a window of it is like, with the
@@ -172,9 +233,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "contaminations")
-    items = scratch.keep(benchmark_items(benchmark, words=words), "items")
-    total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    slices = -(-total // max_shingles) or 1
+    # items with equal shingles share a key
+    items = scratch.keep(benchmark_items(benchmark, words=words).withColumn("item", F.xxhash64("shingles")), "items")
+    slices, filled = _slices(items, max_shingles)
     layout = _blocks(radius)
 
     def cut(value: Column) -> Column:
@@ -182,34 +243,36 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
 
     rows = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"),
                        F.col(text_column).alias("text"))
-    schema = ("doc_id string, text_hash bigint, first_word bigint, words int, fingerprint bigint, "
+    schema = ("doc_id string, text_hash bigint, first_word bigint, words int, item bigint, fingerprint bigint, "
               "shingles array<bigint>")
     found = None
-    for number in range(slices):
-        some = items.where(F.pmod(F.xxhash64("item_id", "fingerprint"), F.lit(slices)) == number)
-        known = some.select(F.explode("shingles").alias("h"), "words").distinct().toPandas()
-        index = spark.sparkContext.broadcast(ItemIndex(known["h"].to_numpy(np.int64).view(np.uint64),
-                                                       known["words"].to_numpy(np.int32), words, similarity))
+    for number in filled or [0]:
+        some = items.where(F.pmod("item", F.lit(slices)) == number)
+        known = some.select(F.explode("shingles").alias("h"), "words", "item").distinct().toPandas()
+        index = spark.sparkContext.broadcast(ItemIndex(
+            known["h"].to_numpy(np.int64).view(np.uint64), known["words"].to_numpy(np.int32),
+            known["item"].to_numpy(np.int64), words, similarity, least_words))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for frame in batches:
-                out = [(d, h, s, n, p - (1 << 64) if p >> 63 else p, own.view(np.int64))
+                out = [(d, h, s, n, i, p - (1 << 64) if p >> 63 else p, own.view(np.int64))
                        for d, h, text in zip(frame["doc_id"], frame["text_hash"], frame["text"])
-                       for s, n, p, own in index.value.windows(text)]
-                yield pd.DataFrame(out, columns=["doc_id", "text_hash", "first_word", "words", "fingerprint", "shingles"])
+                       for s, n, i, p, own in index.value.windows(text)]
+                yield pd.DataFrame(out, columns=["doc_id", "text_hash", "first_word", "words", "item", "fingerprint",
+                                                 "shingles"])
             _word_hash.cache_clear()
             give_back_memory()
 
         windows = scratch.keep(rows.mapInPandas(scan, schema), f"windows-{number}")
         index.unpersist()
         left = windows.select("*", cut(F.col("fingerprint")).alias("block", "value"))
-        right = some.select("item_id", F.col("words").alias("item_words"), F.col("shingles").alias("item_shingles"),
+        right = some.select("item_id", F.col("item").alias("own_item"), F.col("words").alias("item_words"), F.col("shingles").alias("item_shingles"),
                             F.col("fingerprint").alias("item_print"),
                             cut(F.col("fingerprint")).alias("item_block", "item_value"))
         differ = F.col("fingerprint").bitwiseXOR(F.col("item_print"))
         agreeing = F.array(*[F.shiftrightunsigned(differ, a).bitwiseAND(F.lit(m)) == 0 for a, m in layout])
-        pairs = left.join(right, (F.col("words") == F.col("item_words")) & (F.col("block") == F.col("item_block"))
-                          & (F.col("value") == F.col("item_value")))
+        pairs = left.join(right, (F.col("item") == F.col("own_item")) & (F.col("words") == F.col("item_words"))
+                          & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
         # a pair that agrees in several blocks counts in the first
         pairs = pairs.where((F.bit_count(differ) <= radius) & (F.array_position(agreeing, True) - 1 == F.col("block")))
         found = pairs if found is None else found.unionByName(pairs)

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftscope.llm import decontamination as dc
 from tests.llm.conftest import LONG, ROWS
@@ -21,16 +23,19 @@ def shingles(w):
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def brute(docs, items, least=0.8):
+def brute(docs, items, least=0.8, least_words=1):
     best = {}
     for doc, text in docs:
         w = words(text)
         for item, passage in items:
             p = words(passage)
+            b = shingles(p)
             for at in range(len(w) - len(p) + 1) if p else ():
-                if len(p) < 5 and len(w) != len(p):
+                if len(p) < min(5, least_words) and len(w) != len(p):
+                    continue
+                a = shingles(w[at:at + len(p)])
+                if a.keys().isdisjoint(b):
                     continue
-                a, b = shingles(w[at:at + len(p)]), shingles(p)
                 s = sum((a & b).values()) / sum((a | b).values())
                 if s >= least and s > best.get((doc, item), (0, 0))[0]:
                     best[doc, item] = (s, at)
@@ -55,7 +60,44 @@ def test_equals_brute_force(spark, options):
             (11, " ".join(words(ITEM)[:28]) + " z z"), (12, REPEATED + " aa bb"), (13, f"{ITEM} {ITEM}"), (None, ITEM)]
     got = found(spark, docs, **options)
     assert got == brute(docs, ITEMS)
-    assert {(0, 1), (1, 1), (5, 2), (6, 3), (13, 1), (None, 1)} <= set(got) and not {d for d, _ in got} & {4, 7, 9, 10}
+    assert {(0, 1), (1, 1), (5, 2), (6, 3), (7, 3), (13, 1), (None, 1)} <= set(got) and not {d for d, _ in got} & {4, 9, 10}
+    got = found(spark, docs, least_words=3, **options)
+    assert got == brute(docs, ITEMS, least_words=3) and (6, 3) in got and (7, 3) not in got
+
+
+def test_items_of_one_to_four_words(spark):
+    items = [(1, "alpha beta gamma delta"), (2, "Alpha"), (3, "beta gamma"), (4, "alpha alpha alpha"), (5, "beta, GAMMA")]
+    docs = [(0, "alpha beta gamma delta"), (1, "see alpha beta gamma delta, here and alpha beta gamma delta"),
+            (2, "alpha alpha alpha alpha"), (3, "beta x gamma"), (4, "gamma beta"), (5, "beta gamma"), (6, "ALPHA")]
+    assert found(spark, docs, items) == brute(docs, items)
+    assert found(spark, docs, items, least_words=5) == brute(docs, items, least_words=5)
+
+
+def test_windows_meet_few_of_many_items():
+    """Of 20,000 items of one length a window meets those it shares shingles with."""
+    pick = random.Random(11)
+    texts = [" ".join(f"w{pick.randrange(3000)}" for _ in range(30)) for _ in range(20_000)]
+    shingled = [dc.shingle_hashes(t)[1] for t in texts]
+    index = dc.ItemIndex(np.concatenate(shingled), np.full(26 * len(texts), 30, np.int32),
+                         np.repeat(np.arange(len(texts)), 26), 5, 0.8)
+    met = [list(index.windows(f"some words before {t} and some behind")) for t in texts[:200]]
+    assert all(n in {item for *_, item, _, _ in found} for n, found in enumerate(met))
+    windows = sum(len({first for first, *_ in found}) for found in met)
+    share = sum(map(len, met)) / windows / len(texts)
+    print(f"{share:.2e} of the items of its length meet a window")
+    assert share < 0.001
+
+
+@pytest.mark.parametrize("max_shingles, most", [(10**9, 1), (25, 10)])
+def test_slices_hold_as_much_as_asked_or_one_item(spark, max_shingles, most):
+    items = dc.benchmark_items(spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+    items = items.withColumn("item", F.xxhash64("shingles"))
+    slices, filled = dc._slices(items, max_shingles)
+    sizes = {}
+    for row in items.select("item", F.size("shingles").alias("n")).distinct().collect():
+        sizes.setdefault(row.item % slices, []).append(row.n)
+    assert all(sum(v) <= max_shingles or len(v) == 1 for v in sizes.values()) and slices <= 1 << most
+    assert sorted(sizes) == filled
 
 
 def test_needed_drops_nothing():
