@@ -16,6 +16,7 @@ from contract import inputs
 from contract.inputs import derived_event_stream, derived_events, derived_run, table
 from driftscope.functions.text import hex_text, normalize, statement_type, text_digest, without_parameter_block
 from driftscope.operators import capture, changes, checks
+from driftscope.operators.buckets import BucketTable, delete_cascade_in_place
 from driftscope.operators.compare import group_names
 from driftscope.operators.daily import DailyTotals
 from driftscope.operators.dominant import dominant_pairs, dominant_plans
@@ -355,7 +356,8 @@ def stream_classified(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     out = work_dir(spark, "counts")
     counts = streaming.running_counts(derived_event_stream(spark, sf_dir))
-    _finish(streaming.changes_to_files(counts.withColumnRenamed("count", "events"), out, work_dir(spark, "checkpoint")))
+    _finish(streaming.changes_to_files(counts.withColumnRenamed("count", "events"), out, work_dir(spark, "checkpoint"),
+                                       key=("file_name", "kind"), every=4))
     return streaming.newest(spark, out, "file_name", "kind")
 
 
@@ -412,15 +414,29 @@ def add_with_child(spark, sf_dir):
     return parents.join(children, "c_custkey", "left")
 
 
+def _user_requests(spark, sf_dir) -> DataFrame:
+    return _requests(spark, sf_dir, c_custkey="if(event_type = 'click', user_id * 11, -1 - user_id)",
+                     new_name="concat('Renamed', cast(event_id AS string))",
+                     new_nation="if(event_id % 3 <> 0, cast(user_id % 25 AS int), NULL)")
+
+
 def update_by_key(spark, sf_dir):
     """Some keys are requested many times, some are unknown, some values are NULL."""
-    requests = _requests(spark, sf_dir, c_custkey="if(event_type = 'click', user_id * 11, -1 - user_id)",
-                         new_name="concat('Renamed', cast(event_id AS string))",
-                         new_nation="if(event_id % 3 <> 0, cast(user_id % 25 AS int), NULL)")
-    return changes.update_by_key(_users(spark, sf_dir), requests, "c_custkey", "event_id",
+    return changes.update_by_key(_users(spark, sf_dir), _user_requests(spark, sf_dir), "c_custkey", "event_id",
                                  {"c_name": "new_name", "c_nationkey": "new_nation"})
 
 
+def _kept_in_buckets(rows: DataFrame, key: str) -> BucketTable:
+    return BucketTable(rows.sparkSession, work_dir(rows.sparkSession, key), key, rows.schema, 32).create(rows)
+
+
+def update_in_buckets(spark, sf_dir):
+    """The same requests on a table that is changed where it lies."""
+    users = _kept_in_buckets(_users(spark, sf_dir), "c_custkey")
+    users.update(_user_requests(spark, sf_dir), "event_id", {"c_name": "new_name", "c_nationkey": "new_nation"})
+    return users.rows()
+
+
 def update_product(spark, sf_dir):
     requests = _requests(spark, sf_dir, p_partkey="if(event_type = 'view', event_id % 2500, -1 - event_id)",
                          new_name="concat('Product', cast(event_id AS string))", new_type="'UNCHECKED'",
@@ -429,14 +445,19 @@ def update_product(spark, sf_dir):
                                  {"p_name": "new_name", "p_type": "new_type", "p_price": "new_price"})
 
 
-def delete_cascade(spark, sf_dir):
-    """What is left of four tables after deleting the customers named by requests."""
-    keys = _requests(spark, sf_dir, c_custkey="if(event_type = 'error', user_id * 3, -1 - user_id)")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("order_key"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), "l_linenumber")
-    left = changes.delete_cascade(
-        keys, "c_custkey", _users(spark, sf_dir), {"addresses": _addresses(spark, sf_dir), "orders": orders},
-        {"lines": (lines, "orders", "order_key")})
+def _doomed_users(spark, sf_dir) -> DataFrame:
+    return _requests(spark, sf_dir, c_custkey="if(event_type = 'error', user_id * 3, -1 - user_id)")
+
+
+def _user_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    return {
+        "parent": _users(spark, sf_dir), "addresses": _addresses(spark, sf_dir),
+        "orders": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("order_key")),
+        "lines": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), "l_linenumber"),
+    }
+
+
+def _keys_left(left: dict[str, DataFrame]) -> DataFrame:
     none = F.lit(None).cast("bigint")
 
     def rows(name: str, first: str, second=none):
@@ -447,6 +468,24 @@ def delete_cascade(spark, sf_dir):
             .unionByName(rows("lines", "order_key", F.col("l_linenumber").cast("bigint"))))
 
 
+def delete_cascade(spark, sf_dir):
+    """What is left of four tables after deleting the customers named by requests."""
+    tables = _user_tables(spark, sf_dir)
+    return _keys_left(changes.delete_cascade(
+        _doomed_users(spark, sf_dir), "c_custkey", tables["parent"],
+        {"addresses": tables["addresses"], "orders": tables["orders"]},
+        {"lines": (tables["lines"], "orders", "order_key")}))
+
+
+def delete_cascade_in_buckets(spark, sf_dir):
+    """The same deletions in tables that are changed where they lie."""
+    kept = {name: _kept_in_buckets(rows, "order_key" if name == "lines" else "c_custkey")
+            for name, rows in _user_tables(spark, sf_dir).items()}
+    delete_cascade_in_place(_doomed_users(spark, sf_dir), kept["parent"], kept["addresses"], kept["orders"],
+                            grandchildren=((kept["lines"], kept["orders"]),))
+    return _keys_left({name: held.rows() for name, held in kept.items()})
+
+
 def delete_product(spark, sf_dir):
     keys = _requests(spark, sf_dir, p_partkey="if(event_type = 'view', user_id * 7, -1 - user_id)")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber")
@@ -617,8 +656,10 @@ QUERIES: dict[str, Query] = {
     "stream_interval_rollup": stream_interval_rollup,
     "add_with_child": add_with_child,
     "update_by_key": update_by_key,
+    "update_in_buckets": update_in_buckets,
     "update_product": update_product,
     "delete_cascade": delete_cascade,
+    "delete_cascade_in_buckets": delete_cascade_in_buckets,
     "delete_product": delete_product,
     "guarded_insert": guarded_insert,
     "guarded_insert_two": guarded_insert_two,

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from driftscope.folders import numbered
 from driftscope.operators import capture
 from driftscope.sources.capture import EVENT_SCHEMA, load_events, stream_events
 from driftscope.streaming.capture import changes_to_files, classified_stream, newest, rollup_stream, running_counts, to_files
@@ -70,3 +71,28 @@ def test_rollup_with_a_bound_drops_late_events(spark, folder, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("start_time").collect()
     # the last interval is open until the watermark passes it
     assert [(r.start_time.minute, r.count_executions) for r in rows] == [(0, 2), (1, 1), (3, 3)]
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path):
+    path, out, batches, every = f"{tmp_path}/many", f"{tmp_path}/out", 22, 5
+    for number in range(batches):
+        rows = [event(100 * number + i, 60 * number + i) for i in range(1 + number % 3)]
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    counts = running_counts(stream_events(spark, path, maxFilesPerTrigger="1"), "object_name", "kind")
+    finish(changes_to_files(counts, out, f"{tmp_path}/check", key=("object_name", "kind"), every=every))
+    assert len(numbered(spark, out, "batch")) >= batches
+    assert numbered(spark, f"{out}-snapshots", "batch", finished=True) == [4, 9, 14, 19]
+    state = newest(spark, out, "object_name", "kind")
+    folders = {name.rsplit("/", 2)[1] for name in state.inputFiles()}
+    assert folders == {f"batch={n}" for n in numbered(spark, out, "batch") if n >= 19}
+    batch = running_counts(load_events(spark, path), "object_name", "kind")
+    assert sorted(state.collect()) == sorted(batch.collect())
+
+
+def test_unfinished_snapshot_is_not_read(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    for number, value in enumerate([1, 2, 3]):
+        spark.createDataFrame([("a", value), (None, value)], "k string, v int").write.parquet(f"{out}/batch={number}")
+    spark.createDataFrame([("a", 9, 1)], "k string, v int, batch bigint").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}-snapshots/batch=2")
+    assert {tuple(r) for r in newest(spark, out, "k").collect()} == {("a", 3), (None, 3)}
