@@ -1,7 +1,9 @@
 """Apply a frame of change requests to a table, as a set.
 
-Requests act on the table as it was before the batch.  Nothing is written:
-functions return the new table, or the requests with a status.
+Requests act on the table as it was before the batch.  Functions return the new
+table, or the requests with a status; tables that are changed where they lie are
+in :mod:`driftscope.operators.buckets`.  New keys follow the table's highest, so
+a batch that has been added to the stored table must not be added again.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftscope.operators.numbering import number_rows
+from driftscope.session import work_dir
 
 ACCEPTED = "accepted"
 
@@ -113,8 +116,15 @@ def guarded(requests: DataFrame, guards: Sequence[Guard]) -> DataFrame:
 
 def guarded_insert(table: DataFrame, requests: DataFrame, guards: Sequence[Guard], key: str, order_id: str,
                    values: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """The table with the accepted requests added, and the rejected ones with their reason."""
-    checked = guarded(requests, guards)
+    """The table with the accepted requests added, and the rejected ones with their reason.
+
+    The guards are evaluated once: the requests are written with their verdicts
+    below the shared folder, and numbering as well as both results read that.
+    """
+    verdicts = guarded(requests, guards)
+    path = work_dir(requests.sparkSession, "verdicts")
+    verdicts.write.parquet(path)
+    checked = requests.sparkSession.read.schema(verdicts.schema).parquet(path)
     added = new_ids(checked.where(F.col("status") == ACCEPTED), table, key, order_id).select(
         key, *[F.col(v).alias(c) for c, v in values.items()]
     )

@@ -73,6 +73,21 @@ def test_guarded_insert(spark, users):
     assert [(r.req, r.status) for r in rejected.collect()] == [(1, "no user")]
 
 
+def test_guards_are_joined_once(spark, users, tmp_path):
+    users.write.parquet(f"{tmp_path}/users")
+    stored = spark.read.parquet(f"{tmp_path}/users")
+    orders = spark.createDataFrame([(50, 1)], "order_id bigint, user bigint")
+    requests = spark.range(0, 40).selectExpr("id AS req", "id % 6 AS u")
+    table, rejected = changes.guarded_insert(orders, requests, [Guard(stored, "id", "u", "no user")], "order_id", "req",
+                                             {"user": "u"})
+    for result in (table, rejected):
+        assert not any(name.startswith(f"file://{tmp_path}/users") for name in result.inputFiles())
+    known = {r.id for r in users.collect()}
+    assert table.count() == 1 + sum(i % 6 in known for i in range(40))
+    assert rejected.count() == sum(i % 6 not in known for i in range(40))
+    assert sorted(r.order_id for r in table.collect()) == list(range(50, 50 + table.count()))
+
+
 def test_lookups(spark, users):
     assert rows(changes.lookup(users, "id", 2, "name")) == [("b",)]
     keys = spark.createDataFrame([(1,), (1,), (3,)], "id bigint")
