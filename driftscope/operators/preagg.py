@@ -11,8 +11,8 @@ from driftscope.params import CompareParams
 from driftscope.sources.runs import Run
 
 WIDE = "decimal(38,12)"
-# intervals of at most this many bytes are sent to every task
-INTERVAL_BYTES = 32 << 20
+# intervals of at most this many rows, of some hundred bytes each in memory, are sent to every task
+INTERVAL_ROWS = 1 << 18
 
 
 def time_window(interval: DataFrame, p: CompareParams) -> DataFrame:
@@ -57,11 +57,6 @@ def _weighted(df: DataFrame, average: str) -> str:
     return f"cast(sum(cast({average} AS {WIDE}) * cast({count} AS {WIDE})) AS {TOTAL})"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What Spark expects the rows to take, from file sizes and without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _totals(df: DataFrame, weigh: bool) -> list[str]:
     """Executions and weighted totals; ``weigh`` multiplies averages first, otherwise totals are added up."""
     if weigh:
@@ -92,13 +87,13 @@ def within(stats: DataFrame, bounds: list[tuple[str, int, int]]) -> DataFrame:
 
 
 def plan_totals(stats: DataFrame, interval: DataFrame, *more: str, pruned: bool = False,
-                interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
+                interval_rows: int = INTERVAL_ROWS) -> DataFrame:
     """Executions, weighted totals and time bounds per plan and, if wanted, ``more`` columns of either table.
 
     The statistics are the one big table.  They meet only ids and bounds of the
-    intervals.  Those are broadcast if Spark expects at most ``interval_bytes``
-    of them, and the statistics are then aggregated where they are read, before
-    any shuffle.  Beyond that, statistics are added up per plan and interval
+    intervals.  Those are counted, and broadcast if they are ``interval_rows`` at
+    most; the statistics are then aggregated where they are read, before any
+    shuffle.  Beyond that, statistics are added up per plan and interval
     first, so that what is shuffled for the join is no more than that.  With
     ``pruned`` the bounds of the interval ids are looked up and pushed to the
     statistics' scan.
@@ -107,7 +102,7 @@ def plan_totals(stats: DataFrame, interval: DataFrame, *more: str, pruned: bool
         stats = within(stats, interval_bounds(interval))
     interval = interval.select("side", "runtime_stats_interval_id", "start_time", "end_time",
                                *[c for c in more if c in interval.columns])
-    at_once = estimated_bytes(interval) <= interval_bytes
+    at_once = interval.count() <= interval_rows
     if at_once:
         interval = F.broadcast(interval)
     else:
@@ -145,12 +140,12 @@ def of_queries(totals: DataFrame, run: Run, p: CompareParams) -> DataFrame:
     )
 
 
-def plan_stats(run: Run, p: CompareParams, interval_bytes: int = INTERVAL_BYTES) -> DataFrame:
+def plan_stats(run: Run, p: CompareParams, interval_rows: int = INTERVAL_ROWS) -> DataFrame:
     """Executions, weighted totals and averages, and time bounds per plan.
 
     Plan and query rows join at plan grain, after the totals.
     """
     stats = primary_replica(run.runtime_stats) if p.primary_replica_only else run.runtime_stats
     totals = plan_totals(stats, time_window(run.interval, p), pruned=p.start is not None or p.end is not None,
-                         interval_bytes=interval_bytes)
+                         interval_rows=interval_rows)
     return of_queries(totals, run, p)

@@ -55,9 +55,9 @@ def test_filters_and_repeats(spark, run, store):
 
 def test_intervals_too_large_to_send(run):
     p = CompareParams(start=at(5), end=at(4 * DAY))
-    assert rows(plan_stats(run, p, interval_bytes=0)) == rows(plan_stats(run, p))
+    assert rows(plan_stats(run, p, interval_rows=0)) == rows(plan_stats(run, p))
     interval = time_window(run.interval, p)
-    assert rows(plan_totals(run.runtime_stats, interval, "replica_group_id", interval_bytes=0)) == rows(
+    assert rows(plan_totals(run.runtime_stats, interval, "replica_group_id", interval_rows=0)) == rows(
         plan_totals(run.runtime_stats, interval, "replica_group_id"))
 
 
