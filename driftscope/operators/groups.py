@@ -50,12 +50,13 @@ def identify(plans: DataFrame, run: Run, p: CompareParams) -> DataFrame:
     Also attaches the text sample and ``candidate``, the struct whose maximum
     is the most executed plan.  Columns nobody asks for later are pruned, text
     included.  The join itself keeps texts in use; restricting them beforehand
-    would compute the plans twice.
+    would compute the plans twice.  Texts have no bound and are merged, never
+    sent to all tasks.
     """
     texts = text_features(run.query_text, p)
     if p.statement_type != "ALL":
         texts = texts.where(f"detected_type = '{p.statement_type}'")
-    known = plans.join(texts, ["side", "query_text_id"]).join(
+    known = plans.join(texts.hint("merge"), ["side", "query_text_id"]).join(
         object_names(run.objects, run.schemas), ["side", "object_id"], "left"
     )
     average = metric_column("avg", p)

@@ -126,13 +126,17 @@ def merged_totals(totals: DataFrame) -> DataFrame:
 
 
 def of_queries(totals: DataFrame, run: Run, p: CompareParams) -> DataFrame:
-    """Plan totals with their query and averages, for the queries that are compared."""
+    """Plan totals with their query and averages, for the queries that are compared.
+
+    Plans and queries have no bound and their sizes in files say little about
+    their rows, so they are merged, never sent to all tasks.
+    """
     queries = included_queries(run.query, p)
     if p.primary_replica_only:
         queries = user_queries(queries)
     plans = run.plan.select("side", "plan_id", "query_id")
     queries = queries.select("side", "query_id", "query_text_id", "object_id", "query_hash")
-    return totals.join(plans, ["side", "plan_id"]).join(queries, ["side", "query_id"]).selectExpr(
+    return totals.join(plans.hint("merge"), ["side", "plan_id"]).join(queries.hint("merge"), ["side", "query_id"]).selectExpr(
         "side", "plan_id", "query_id", "query_text_id", "object_id", "query_hash",
         "sum_exec", "total_reads", "total_cpu", "total_dur",
         *[f"{weighted_average(f'total_{m}', 'sum_exec')} AS avg_{m}" for m in ("reads", "cpu", "dur")],
