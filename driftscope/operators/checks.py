@@ -18,15 +18,16 @@ def collection_check(run: Run) -> DataFrame:
     A procedure has been called as often as its most executed statement.
     Statistics shrink to one row per plan, then per query, then per object;
     all four figures come out of the same pass.  A side without statistics has
-    a row too: no sums and counts of 0.
+    a row too: no sums and counts of 0.  Plans and queries are merged, never sent
+    to all tasks, however small their files are.
     """
     per_plan = primary_replica(run.runtime_stats).groupBy("side", "plan_id").agg(
         F.sum(F.col("count_executions").cast("bigint")).alias("executions")
     )
     queries = user_queries(run.query).where(F.coalesce(F.col("object_id"), F.lit(0)) >= 0)
     per_query = (
-        per_plan.join(run.plan.select("side", "plan_id", "query_id"), ["side", "plan_id"])
-        .join(queries.select("side", "query_id", "object_id"), ["side", "query_id"])
+        per_plan.join(run.plan.select("side", "plan_id", "query_id").hint("merge"), ["side", "plan_id"])
+        .join(queries.select("side", "query_id", "object_id").hint("merge"), ["side", "query_id"])
         .groupBy("side", "query_id")
         .agg(F.max("object_id").alias("object_id"), F.sum("executions").alias("executions"))
     )

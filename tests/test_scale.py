@@ -6,6 +6,7 @@ import re
 
 from contract.inputs import SIDES, derived_run
 from contract.queries import params
+from driftscope.operators.checks import collection_check
 from driftscope.plans.comparison import Comparison
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,7 @@ def test_group_statistics_merge_plans_queries_and_texts(spark):
     found = broadcast(Comparison(run, params(group_by="NormalizedText"), SIDES, store=None).groups)
     assert ("runtime_stats_interval_id", "Inner") in found
     assert not UNBOUND & {key for key, _ in found}
+
+
+def test_collection_check_merges_plans_and_queries(spark):
+    assert not UNBOUND & {key for key, _ in broadcast(collection_check(derived_run(spark, SF)))}
