@@ -13,6 +13,9 @@ from driftscope.functions.text import text_digest
 from driftscope.operators.groups import GROUP
 from driftscope.params import CompareParams
 
+# ids of at most this many plans, of about a hundred bytes each in memory, are sent to every task
+MEMBER_ROWS = 1 << 18
+
 
 def pair_members(pairs: DataFrame) -> DataFrame:
     """The plans named by pairs, one row per side and plan."""
@@ -21,15 +24,23 @@ def pair_members(pairs: DataFrame) -> DataFrame:
     ).where("plan_id IS NOT NULL")
 
 
-def plan_indicators(members: DataFrame, plan: DataFrame, p: CompareParams, engine: str = "xpath") -> DataFrame:
+def plan_indicators(members: DataFrame, plan: DataFrame, p: CompareParams, engine: str = "xpath",
+                    member_rows: int = MEMBER_ROWS) -> DataFrame:
     """Fetch the XML of the given plans and read it.
 
     Plans that are not asked for are dropped by the join before any XML is
-    parsed.  No XML, or malformed XML, gives NULLs.
+    parsed.  The members are counted; if they are ``member_rows`` at most, their
+    ids are broadcast, and other plans go where they are read.  XML itself is
+    merged with the members, never sent to all tasks.  No XML, or malformed XML,
+    gives NULLs.
     """
     if engine not in ("xpath", "pandas"):
         raise ValueError(f"engine must be xpath or pandas, not {engine!r}")
-    fetched = members.join(plan.select("side", "plan_id", "query_plan"), ["side", "plan_id"])
+    key = ["side", "plan_id"]
+    plan = plan.select(*key, "query_plan")
+    if members.count() <= member_rows:
+        plan = plan.join(F.broadcast(members.select(*key)), key, "left_semi")
+    fetched = members.join(plan.hint("merge"), key)
     base = [*members.columns, "query_plan", text_digest(F.col("query_plan"), p.charset).alias("plan_xml_hash")]
     if engine == "xpath":
         readable = fetched.select(*base).selectExpr("*", f"{well_formed('query_plan')} AS _xml")

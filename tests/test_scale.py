@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from contract.inputs import SIDES, derived_run
-from contract.queries import params
+from contract.queries import comparison, params
 from driftscope.operators.checks import collection_check
+from driftscope.operators.shape import pair_members, plan_indicators
 from driftscope.plans.comparison import Comparison
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,14 @@ def test_group_statistics_merge_plans_queries_and_texts(spark):
 
 def test_collection_check_merges_plans_and_queries(spark):
     assert not UNBOUND & {key for key, _ in broadcast(collection_check(derived_run(spark, SF)))}
+
+
+def test_plan_xml_is_merged_with_few_or_many_members(spark):
+    c = comparison(spark, SF, min_exec=None, min_ratio=None)
+    members = pair_members(c.multi_plan_pairs)
+    few = plan_indicators(members, c.run.plan, c.params)
+    many = plan_indicators(members, c.run.plan, c.params, member_rows=0)
+    assert {kind for key, kind in broadcast(few) if key == "plan_id"} == {"LeftSemi"}
+    assert not UNBOUND & {key for key, _ in broadcast(many)}
+    assert few.count() > 0
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
