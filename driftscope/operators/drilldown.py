@@ -30,10 +30,10 @@ def multi_plan_detail(rows: DataFrame, plan: DataFrame, p: CompareParams) -> Dat
 
     Distinct values are ranked in bounded windows and joined back, which spreads
     a key with very many plans over many tasks.  XML is hashed where it is read;
-    only digests are shuffled.
+    only digests are shuffled, and merged, since there are as many as plans.
     """
     digests = plan.select("side", "plan_id", text_digest(F.col("query_plan"), p.charset).alias("plan_xml_hash"))
-    hashed = rows.join(digests, ["side", "plan_id"])
+    hashed = rows.join(digests.hint("merge"), ["side", "plan_id"])
     by_avg = value_ranks(rows, RANKED_IN, "avg_metric", "rank_by_avg", scale=6)
     by_exec = value_ranks(rows, RANKED_IN, "sum_exec", "rank_by_exec")
     return hashed.join(by_avg, [*RANKED_IN, "avg_metric"]).join(by_exec, [*RANKED_IN, "sum_exec"])

@@ -7,6 +7,7 @@ import re
 from contract.inputs import SIDES, derived_run
 from contract.queries import comparison, params
 from driftscope.operators.checks import collection_check
+from driftscope.operators.drilldown import multi_plan_detail
 from driftscope.operators.shape import pair_members, plan_indicators
 from driftscope.plans.comparison import Comparison
 
@@ -31,6 +32,12 @@ def test_collection_check_merges_plans_and_queries(spark):
     assert not UNBOUND & {key for key, _ in broadcast(collection_check(derived_run(spark, SF)))}
 
 
+def test_digests_of_plans_are_merged(spark):
+    c = comparison(spark, SF)
+    found = broadcast(multi_plan_detail(c.multi_plan_rows, c.run.plan, c.params))
+    assert not UNBOUND & {key for key, _ in found}
+
+
 def test_plan_xml_is_merged_with_few_or_many_members(spark):
     c = comparison(spark, SF, min_exec=None, min_ratio=None)
     members = pair_members(c.multi_plan_pairs)
