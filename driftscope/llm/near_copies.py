@@ -1,10 +1,15 @@
-"""Near copies by the similarity of five-word shingles: banded minima, exact verification, components.
+"""Near copies by the similarity of five-word shingles: SimHash, ball hashing, exact verification, components.
 
 Two texts are near copies if the sets of their shingles have a Jaccard
-similarity of 0.8 or more; near copies of near copies are one component.  A
-text's ``BANDS`` bands are hashes of ``ROWS`` minima each over its shingles.  Texts
-that share a band are candidates: of pairs at 0.8 all but about seven in a
-million share one, of more similar ones fewer are missed.
+similarity of 0.8 or more; near copies of near copies are one component.  Every
+text has the SimHash of its shingle set.  Fingerprints at most three bits apart
+meet by ball hashing, and texts whose fingerprints are so connected are
+candidates, in one bucket.
+
+Pairs at 0.8 lie about ten bits apart, so three bits find the closer copies only.
+For the others a text also has ``BANDS`` bands, hashes of ``ROWS`` minima each over
+its shingles, and texts that share a band are candidates too: of pairs at 0.8 all
+but about seven in a million share one, of more similar ones fewer are missed.
 
 Candidates are verified by their exact shingle sets.  Buckets with the same
 members count once.  First each member is compared with its bucket's centre, the
@@ -33,7 +38,7 @@ from pyspark.sql import types as T
 
 from driftscope.llm.components import components
 from driftscope.llm.scratch import Scratch, give_back_memory
-from driftscope.llm.simhash import keep_first
+from driftscope.llm.simhash import keep_first, linked_fingerprints, majority
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -153,15 +158,17 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            key, n, band = [], [], []
+            key, n, prints, band = [], [], [], []
             for x in part["data"]:
                 tokens = _tokens(x.as_py())
                 own = shingle_set(tokens, words)
                 key.append(_key(tokens))
                 n.append(len(own))
+                prints.append(majority(own) if len(own) else None)
                 band.append(bands(own))
             yield pa.record_batch({"doc_id": part["doc_id"], "key": pa.array(key, pa.int64()),
-                                   "n": pa.array(n, pa.int32()), "bands": pa.array(band, pa.list_(pa.int64()))})
+                                   "n": pa.array(n, pa.int32()),
+                                   "fingerprint": pa.array(prints, pa.int64()), "bands": pa.array(band, pa.list_(pa.int64()))})
         give_back_memory()
 
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +180,19 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         give_back_memory()
 
     sketches = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.LongType()),
-                             T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+                             T.StructField("n", T.IntegerType()), T.StructField("fingerprint", T.LongType()),
+                             T.StructField("bands", T.ArrayType(T.LongType()))])
     marked = scratch.keep(rows.mapInArrow(sketch, sketches), "sketches")
     heads = scratch.keep(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
+                                                   F.first("fingerprint").alias("fingerprint"),
                                                    F.first("bands").alias("bands")), "heads")
-    dealt = heads.select("key", "n", F.explode("bands").alias("band"))
+    # texts without words have no fingerprint
+    printed = heads.where("fingerprint IS NOT NULL").select("key", "n", "fingerprint")
+    links = scratch.keep(linked_fingerprints(printed.select("fingerprint").distinct()), "fingerprint-links")
+    balls = components(Scratch(scratch.spark, "fingerprints"), links).withColumnRenamed("node", "fingerprint")
+    in_ball = printed.join(balls, "fingerprint", "left").select(
+        "key", "n", F.xxhash64(F.lit("ball"), F.coalesce("root", "fingerprint")).alias("band"))
+    dealt = heads.select("key", "n", F.explode("bands").alias("band")).unionByName(scratch.keep(in_ball, "balls"))
     buckets = dealt.groupBy("band").agg(
         F.count("*").alias("members"), F.min("key").alias("centre"), F.bit_xor(F.xxhash64("key")).alias("x"),
         F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1")

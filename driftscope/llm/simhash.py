@@ -39,6 +39,15 @@ BUCKET_VARIANTS = 2_000_000
 _CHUNK = 1 << 16
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.array(hashes[at:at + _CHUNK], np.uint64)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
     """The SimHash of one text as a signed 64-bit number."""
     import xxhash
@@ -56,11 +65,7 @@ def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
         start = end - length
         hashes = [digest(text[i:j], seed) for i, j in zip(start[:len(tokens) - words + 1].tolist(),
                                                           end[words - 1:].tolist())]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[at:at + _CHUNK], np.uint64)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(hashes)
 
 
 def fingerprint_column(text: Column, words: int = 3, seed: int = 42) -> Column:

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -62,6 +63,18 @@ def test_stage_finds_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute(docs)
 
 
+def test_fingerprints_within_three_bits_are_candidates(spark, monkeypatch):
+    """Ball hashing by itself, without any band."""
+    monkeypatch.setattr(nc, "bands", lambda shingles: np.zeros(0, np.int64))
+    texts = [" ".join(f"w{i}x{n}" for i in range(2000)) for n in range(3)]
+    docs = [(i, t + end) for i, t in enumerate(texts) for end in ("", " more")]
+    docs = [(2 * i + e, t) for e in (0, 1) for i, t in enumerate(t for _, t in docs[e::2])]
+    prints = [nc.majority(nc.shingle_set(nc._tokens(t.encode()))) for _, t in sorted(docs)]
+    assert all(1 <= (a ^ b).bit_count() <= 3 or a == b for a, b in zip(prints[::2], prints[1::2]))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in nc.drop_near_copies(frame).collect()) == [0, 2, 4]
+
+
 def test_odd_rows(spark, odd, none):
     kept = nc.drop_near_copies(odd)
     assert kept.columns == odd.columns and nc.drop_near_copies(none).count() == 0
