@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from contract.inputs import SIDES, derived_run
-from contract.queries import comparison, params
+from contract.queries import QUERIES, comparison, params
 from driftscope.operators.checks import collection_check
 from driftscope.operators.drilldown import multi_plan_detail
 from driftscope.operators.shape import pair_members, plan_indicators
 from driftscope.plans.comparison import Comparison
+from driftscope.plans.steps import Steps
 
 SF = "/root/testdata/sf0.001"
 UNBOUND = {"plan_id", "query_id", "query_text_id"}
@@ -28,6 +31,33 @@ def test_group_statistics_merge_plans_queries_and_texts(spark):
     assert not UNBOUND & {key for key, _ in found}
 
 
+@pytest.mark.parametrize("name", [
+    "group_agg_hash", "group_agg_text", "group_agg_normalized", "group_agg_select_only", "group_agg_merged",
+    "plan_preagg", "plan_preagg_window", "compare_cpu", "compare_hash", "compare_normalized", "compare_split",
+    "regressed_groups", "multi_plan_only", "multi_plan_dominant", "dominant_pairs", "regression_summary",
+    "regression_overview_text"])
+def test_queries_send_no_unbound_table_to_every_task(spark, name):
+    found = broadcast(QUERIES[name](spark, SF))
+    assert ("runtime_stats_interval_id", "Inner") in found
+    assert not UNBOUND & {key for key, _ in found}
+
+
+def test_result_rows_send_no_unbound_table_to_every_task(spark):
+    for metric in ("LogicalReads", "CPU"):
+        found = broadcast(comparison(spark, SF, metric=metric).result_rows())
+        assert ("runtime_stats_interval_id", "Inner") in found
+        assert not UNBOUND & {key for key, _ in found}
+
+
+def test_timed_steps_send_no_unbound_table_to_every_task(spark):
+    steps = Steps(spark)
+    c = comparison(spark, SF, None).timed(steps)
+    found = broadcast(c.groups)
+    steps.release()
+    assert ("runtime_stats_interval_id", "Inner") in found
+    assert not UNBOUND & {key for key, _ in found}
+
+
 def test_collection_check_merges_plans_and_queries(spark):
     assert not UNBOUND & {key for key, _ in broadcast(collection_check(derived_run(spark, SF)))}
 
