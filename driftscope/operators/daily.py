@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftscope.functions.report import TOTAL
-from driftscope.operators.preagg import merged_totals, of_queries, plan_totals, primary_replica, time_window
+from driftscope.operators.preagg import many_plans, merged_totals, of_queries, plan_totals, primary_replica, time_window
 from driftscope.params import CompareParams
 from driftscope.sources.runs import Run
 
@@ -41,7 +41,8 @@ class DailyTotals:
         """Totals of the days from ``first`` to ``last``, from the statistics of their intervals only."""
         days = CompareParams(start=_midnight(first), end=_midnight(last + dt.timedelta(days=1)))
         interval = time_window(run.interval, days).withColumn("day", F.to_date("start_time"))
-        return plan_totals(run.runtime_stats, interval, "replica_group_id", "day", pruned=True)
+        return plan_totals(run.runtime_stats, interval, "replica_group_id", "day", pruned=True,
+                           spread=many_plans(run))
 
     def add(self, run: Run, first: dt.date, last: dt.date | None = None) -> None:
         """Take in days, replacing what was there of them, so a repeated call changes nothing.
@@ -93,4 +94,5 @@ class DailyTotals:
     @staticmethod
     def _edge(run: Run, p: CompareParams, start: dt.datetime, end: dt.datetime) -> DataFrame:
         stats = primary_replica(run.runtime_stats) if p.primary_replica_only else run.runtime_stats
-        return plan_totals(stats, time_window(run.interval, replace(p, start=start, end=end)), pruned=True)
+        return plan_totals(stats, time_window(run.interval, replace(p, start=start, end=end)), pruned=True,
+                           spread=many_plans(run))

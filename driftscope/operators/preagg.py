@@ -13,6 +13,8 @@ from driftscope.sources.runs import Run
 WIDE = "decimal(38,12)"
 # intervals of at most this many rows, of some hundred bytes each in memory, are sent to every task
 INTERVAL_ROWS = 1 << 18
+# totals of at most this many plans, of some 250 bytes each, are held by every task that reads statistics
+PLAN_ROWS = 1 << 20
 
 
 def time_window(interval: DataFrame, p: CompareParams) -> DataFrame:
@@ -86,8 +88,22 @@ def within(stats: DataFrame, bounds: list[tuple[str, int, int]]) -> DataFrame:
     return stats.where(wanted)
 
 
+def many_plans(run: Run, plan_rows: int = PLAN_ROWS) -> bool:
+    return run.plan.select("side", "plan_id").count() > plan_rows
+
+
+def dealt(stats: DataFrame) -> DataFrame:
+    """Statistics dealt by plan, in shares of the session's advisory size.
+
+    Shares are told by a hash and not by the plan itself, so that those of plans
+    with very many rows may be split by AQE; the totals of the parts still meet.
+    """
+    shares = stats.withColumn("share", F.expr("xxhash64(side, plan_id)"))
+    return shares.hint("rebalance", F.col("share")).drop("share")
+
+
 def plan_totals(stats: DataFrame, interval: DataFrame, *more: str, pruned: bool = False,
-                interval_rows: int = INTERVAL_ROWS) -> DataFrame:
+                interval_rows: int = INTERVAL_ROWS, spread: bool = False) -> DataFrame:
     """Executions, weighted totals and time bounds per plan and, if wanted, ``more`` columns of either table.
 
     The statistics are the one big table.  They meet only ids and bounds of the
@@ -97,12 +113,18 @@ def plan_totals(stats: DataFrame, interval: DataFrame, *more: str, pruned: bool
     first, so that what is shuffled for the join is no more than that.  With
     ``pruned`` the bounds of the interval ids are looked up and pushed to the
     statistics' scan.
+
+    A task that adds up where it reads holds a total for each plan in its split,
+    which with scattered rows may be nearly one per row.  With ``spread``, and
+    for totals per plan and interval, statistics are dealt by plan before.
     """
     if pruned:
         stats = within(stats, interval_bounds(interval))
     interval = interval.select("side", "runtime_stats_interval_id", "start_time", "end_time",
                                *[c for c in more if c in interval.columns])
     at_once = interval.count() <= interval_rows
+    if spread or not at_once:
+        stats = dealt(stats)
     if at_once:
         interval = F.broadcast(interval)
     else:
@@ -144,12 +166,12 @@ def of_queries(totals: DataFrame, run: Run, p: CompareParams) -> DataFrame:
     )
 
 
-def plan_stats(run: Run, p: CompareParams, interval_rows: int = INTERVAL_ROWS) -> DataFrame:
+def plan_stats(run: Run, p: CompareParams, interval_rows: int = INTERVAL_ROWS, plan_rows: int = PLAN_ROWS) -> DataFrame:
     """Executions, weighted totals and averages, and time bounds per plan.
 
     Plan and query rows join at plan grain, after the totals.
     """
     stats = primary_replica(run.runtime_stats) if p.primary_replica_only else run.runtime_stats
     totals = plan_totals(stats, time_window(run.interval, p), pruned=p.start is not None or p.end is not None,
-                         interval_rows=interval_rows)
+                         interval_rows=interval_rows, spread=many_plans(run, plan_rows))
     return of_queries(totals, run, p)

@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from contract.inputs import SIDES, derived_run
 from contract.queries import QUERIES, comparison, params
+from driftscope.operators import preagg
 from driftscope.operators.checks import collection_check
+from driftscope.operators.daily import DailyTotals
 from driftscope.operators.drilldown import multi_plan_detail
+from driftscope.operators.preagg import plan_stats
 from driftscope.operators.shape import pair_members, plan_indicators
 from driftscope.plans.comparison import Comparison
 from driftscope.plans.steps import Steps
@@ -77,3 +81,48 @@ def test_plan_xml_is_merged_with_few_or_many_members(spark):
     assert not UNBOUND & {key for key, _ in broadcast(many)}
     assert few.count() > 0
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+
+
+def dealt_first(rows) -> bool:
+    """Are statistics dealt by a hash before they are added up for the first time?"""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    first = plan.rindex("partial_sum")
+    return "REBALANCE_PARTITIONS_BY_COL" in plan[first:]
+
+
+def test_statistics_of_many_plans_are_dealt_before_they_are_added_up(spark):
+    run = derived_run(spark, SF)
+    few, many = plan_stats(run, params()), plan_stats(run, params(), plan_rows=0)
+    assert not dealt_first(few) and dealt_first(many)
+    assert dealt_first(plan_stats(run, params(), interval_rows=0))
+    assert few.count() > 0
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+
+
+def test_queries_and_days_deal_statistics_of_many_plans(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(preagg.many_plans, "__defaults__", (0,))
+    monkeypatch.setattr(preagg.plan_stats, "__defaults__", (preagg.INTERVAL_ROWS, 0))
+    run = derived_run(spark, SF)
+    assert dealt_first(QUERIES["compare_cpu"](spark, SF))
+    assert dealt_first(QUERIES["plan_preagg_window"](spark, SF))
+    day = run.interval.agg({"start_time": "min"}).first()[0].date()
+    assert dealt_first(DailyTotals(spark, str(tmp_path)).partials(run, day, day))
+
+
+def test_a_plan_with_many_rows_is_added_up_by_several_tasks(spark):
+    """Its share is split by AQE, so it costs no more than others."""
+    run = derived_run(spark, SF)
+    hot = run.runtime_stats.withColumn("plan_id", F.expr("if(plan_id % 3 = 0, 0L, plan_id)"))
+    changed = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    before = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        totals = preagg.plan_totals(hot.repartition(16), run.interval, spread=True)
+        found = totals.collect()
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "skewed" in plan
+    assert sorted(found) == sorted(preagg.plan_totals(hot, run.interval).collect())
